@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .langid import identify_languages
+from .quality import score_quality
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id,)}
+    return {f.__name__: f for f in (op3_language_id, op7_quality_mil)}
