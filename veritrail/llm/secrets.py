@@ -1,0 +1,189 @@
+"""Secret scan with corpus-wide ownership frequency.
+
+Candidates of every kind are found in the whole text of each document and hashed.
+For each hash the distinct repositories and owners that hold it are counted over
+the corpus: a value that ``WIDE_OWNERS`` owners or more have is a widely copied
+example, a value of fewer owners that does not look like a placeholder is live.
+Base kinds are always reported; the looser kinds only add spans where their value
+is live.
+
+Defined cases
+    null and empty texts have no spans (sha256 of the empty string);
+    a null owner is an owner of its own; rows are handled one by one, and repeated
+    rows of one repository count once in the frequencies; null ids stay; texts of
+    any length are scanned whole; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import durable, salted_lookup
+
+WIDE_OWNERS = 3
+#: Base kinds in their order, then the looser ones.
+BASE = ("assign", "access", "hex")
+KINDS = (*BASE, "github", "jwt", "pem", "slack", "opaque")
+_ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+_ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+_HEX = re.compile(rb"[0-9a-f]{24,}")
+_EXTRA = (
+    ("github", b"gh", re.compile(rb"gh[pousr]_[A-Za-z0-9]{36,}")),
+    ("jwt", b"eyJ", re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("pem", b"-----BEGIN", re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
+    ("slack", b"xox", re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}")),
+)
+_OPAQUE = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}(?![A-Za-z0-9+/_=-])")
+_KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+_PLACEHOLDER = re.compile(rb"example|changeme|placeholder|your|dummy|xxxx|1234|^(.)\1+$", re.I)
+_HEXMAP = bytes(120 if chr(b) in "0123456789abcdef" and b < 128 else 32 for b in range(256))
+_LONGMAP = bytes(120 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-") else 32 for b in range(256))
+#: A text without any match of this has no candidate of any kind.
+MAYBE = r"(?i)password|passwd|secret|token|api_?key|AKIA|gh[pousr]_|eyJ|-----BEGIN|xox[abprs]-|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{32}"
+
+
+def _bits(value: bytes) -> float:
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def find_candidates(text: bytes | None) -> list[tuple[int, int, str, bytes]]:
+    """(start, end, kind, value) in bytes, by start, then kind as listed."""
+    if not text:
+        return []
+    found = []
+    lower = text.lower()
+    if any(k in lower for k in _KEYWORDS):
+        found += [(m.start(), m.end(), "assign", m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if b"AKIA" in text:
+        found += [(m.start(), m.end(), "access", m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
+    if b"x" * 24 in text.translate(_HEXMAP):
+        found += [(m.start(), m.end(), "hex", m[0]) for m in _HEX.finditer(text)]
+    for kind, sign, pattern in _EXTRA:
+        if sign in text:
+            found += [(m.start(), m.end(), kind, m[0]) for m in pattern.finditer(text)]
+    if b"x" * 32 in text.translate(_LONGMAP):
+        taken = [(a, b) for a, b, _, _ in found]
+        for m in _OPAQUE.finditer(text):
+            mixed = re.search(rb"[0-9]", m[0]) and re.search(rb"[a-z]", m[0]) and re.search(rb"[A-Z]", m[0])
+            if mixed and _bits(m[0]) >= 4 and not any(a < m.end() and m.start() < b for a, b in taken):
+                found.append((m.start(), m.end(), "opaque", m[0]))
+    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+
+
+def _points(text: bytes, offsets: list[int]) -> dict[int, int]:
+    """Code points before each byte offset."""
+    out, at, n = {}, 0, 0
+    for o in sorted(set(offsets)):
+        n += len(text[at:o].decode("utf-8", "replace"))
+        out[o], at = n, o
+    return out
+
+
+_FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:binary,base:boolean,sham:boolean>>"
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary()), ("base", pa.bool_()), ("sham", pa.bool_())]))
+    for batch in batches:
+        at = batch.schema.get_field_index("_data")
+        rows = []
+        for value in batch.column(at):
+            text = value.as_py()
+            found = find_candidates(text)
+            if not found:
+                rows.append([])
+                continue
+            points = _points(text, [o for a, b, _, _ in found for o in (a, b)])
+            rows.append([
+                {"kind": k, "start": points[a], "end": points[b], "hash": hashlib.sha256(v).digest()[:16], "base": k in BASE, "sham": bool(_PLACEHOLDER.search(v)) and k != "hex"}
+                for a, b, k, v in found
+            ])
+        kept = [i for i in range(batch.num_columns) if i != at]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(rows, shape)], names=[*(batch.schema.names[i] for i in kept), "found"])
+
+
+def candidates(docs: DataFrame, repo: str, owner: str) -> DataFrame:
+    """doc_id, _repo, _owner, found (the candidates) of every row."""
+    rows = docs.select("doc_id", F.col(repo).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"), F.col("text").cast("binary").alias("_data"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_extract, f"doc_id {kind}, _repo string, _owner string, found {_FOUND}")
+
+
+def ownership(found: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
+    """hash, n_repos, n_owners, wide: over all candidates of the corpus.
+
+    Distinct (hash, owner) and (hash, repository) pairs are formed before they are
+    counted, so a value that everyone holds is summed in partial counts.
+    """
+    flat = found.select(F.explode("found").alias("f"), "_repo", "_owner").select("f.hash", F.coalesce("_repo", F.lit("")).alias("_repo"), F.coalesce("_owner", F.lit("")).alias("_owner"))
+    owners = flat.groupBy("hash", "_owner").agg(F.lit(1)).groupBy("hash").agg(F.count("*").alias("n_owners"))
+    repos = flat.groupBy("hash", "_repo").agg(F.lit(1)).groupBy("hash").agg(F.count("*").alias("n_repos"))
+    return owners.join(repos, "hash").withColumn("wide", F.col("n_owners") >= wide_owners)
+
+
+def _line(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example of every row."""
+    found = durable(candidates(docs, repo, owner).withColumn("_row", F.monotonically_increasing_id()))
+    some = found.where(F.size("found") > 0).select("_row", F.posexplode("found").alias("at", "f")).select("_row", "at", "f", F.col("f.hash").alias("hash"))
+    judged = salted_lookup(some, ownership(found, wide_owners).select("hash", "wide"), ["hash"])
+    judged = judged.withColumn("live", ~F.col("wide") & ~F.col("f.sham"))
+    shown = F.struct("at", F.col("f.kind").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"))
+    lists = judged.groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("f.base") | F.col("live"), shown))).alias("shown"),
+        F.count_if("live").alias("n_live"), F.count_if("wide").alias("n_example"),
+    )
+    out = found.join(lists, "_row", "left")
+    counts = [F.size(F.filter("found", _of(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    base = F.filter("found", lambda s: s["base"])
+    return out.select(
+        "doc_id", *counts, F.sha2(_line(base).cast("binary"), 256).alias("base_sha256"), F.coalesce(_line(F.col("shown")), F.lit("")).alias("spans"),
+        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+    )
+
+
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def redact_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+    """The rows and columns of ``docs``; live values are replaced by ``[kind]`` (n_chars follows).
+
+    Only rows that may hold a candidate are shuffled with their text.
+    """
+    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
+    suspects = docs.where(maybe)
+    found = durable(candidates(suspects, repo, owner))
+    flat = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.hash", "f.sham").distinct()
+    live = salted_lookup(flat, ownership(found, wide_owners).select("hash", "wide"), ["hash"]).where(~F.col("wide") & ~F.col("sham"))
+    by_doc = live.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("hash").alias("_live"))
+    kept = [c for c in docs.columns if c != "text"]
+    rows = suspects.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*kept, F.col("text").cast("binary").alias("_data"), "_live")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, live_ in zip(batch.column("_data"), batch.column("_live"), strict=True):
+                text, wanted, out, last = text.as_py(), set(live_.as_py() or ()), [], 0
+                for a, b, kind, value in find_candidates(text) if wanted else ():
+                    if hashlib.sha256(value).digest()[:16] in wanted and b > last:
+                        out += [text[last : max(a, last)], f"[{kind}]".encode() if a >= last else b""]
+                        last = b
+                texts.append(b"".join([*out, text[last:]]) if out else text)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "_data"])
+
+    cleaned = rows.mapInArrow(clean, rows.drop("_live").schema).withColumn("text", F.col("_data").cast("string"))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.where(~maybe).unionByName(cleaned.select(*docs.columns))
