@@ -66,32 +66,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hash_table() -> type[dict]:
-    """A dict that hashes a word on its first lookup; bounded by ``clear`` in the callers."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-
-    class Hashes(dict):
-        def __missing__(self, word: bytes) -> int:
-            value = self[word] = digest(word)
-            return value
-
-    return Hashes
-
-
-def rolling_shingles(word_hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of every run of ``width`` consecutive words, by start."""
-    n = len(word_hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + word_hashes[j : j + n]
-    return mix64(out)
-
-
 def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """Left join ``rows`` with a table that has one row per key, however often a key
     occurs in ``rows``: each key of the table is written ``salts`` times and the rows

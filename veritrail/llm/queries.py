@@ -13,6 +13,7 @@ from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import score_quality
 from .secrets import scan_secrets
+from .substrings import dedup_substrings
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +36,13 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_license_scan, op6_decontamination, op7_quality_mil, op8_source_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_language_id, op4_license_scan, op6_decontamination, op7_quality_mil, op8_source_mixing, op9_substring_dedup, op10_secret_scan)}
