@@ -10,6 +10,7 @@ from .common import read_table
 from .decontaminate import contamination
 from .langid import identify_languages
 from .licenses import scan_licenses
+from .minhash import near_duplicate_classes
 from .mixing import mix_sources
 from .quality import score_quality
 from .secrets import scan_secrets
@@ -29,6 +30,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -50,4 +55,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_language_id, op4_license_scan, op6_decontamination, op7_quality_mil, op8_source_mixing, op9_substring_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_language_id, op4_license_scan, op5_weighted_minhash, op6_decontamination, op7_quality_mil, op8_source_mixing, op9_substring_dedup, op10_secret_scan)}
