@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, salted_lookup
+from .common import batches_of_bytes, mix64, salted_lookup
 from .words import WHITESPACE, positions_in, shingles, word_hashes
 
 LENGTH = 20
@@ -45,11 +45,12 @@ PERIOD = 13
 #: A perfect difference set modulo 13: every difference but 0 occurs once.
 COVER = (0, 1, 3, 9)
 ANCHOR = LENGTH - PERIOD + 1
-CHUNK = 4 << 20
-#: Bytes of text for each bucket of hashes.
-BUCKET_BYTES = 8 << 20
+CHUNK = 2 << 20
+#: Bytes of text for each bucket of hashes, and for each group of documents that get marks back.
+BUCKET_BYTES = 4 << 20
 _NULL_ID = -(2**63)
 _BLOCK = "bucket int, direct boolean, ids binary, keys binary, sizes binary, starts binary, hashes binary, checks binary, known binary"
+_BUNDLE = "dest int, ids binary, keys binary, sizes binary, starts binary"
 _MARK = "id long, key long, starts binary"
 
 
@@ -95,7 +96,41 @@ def _deal(ids, keys, doc, starts, hashes, checks, buckets: int, keep_first: bool
         yield _pack(int(own[by[a]]), False, ids, keys, doc[e], starts[e], hashes[e], None if checks is None else checks[e], known[e])
 
 
-def _settle(keep_first: bool) -> Callable[[pa.Table], pa.Table]:
+def _by_document(i: np.ndarray, k: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The entries in the order of (id, key, start), and where each document begins and ends."""
+    order = np.lexsort((s, k, i))
+    i, k, s = i[order], k[order], s[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.empty(0, int)
+    return i, k, s, cuts, np.array([*cuts[1:], len(i)] if len(i) else [], int)
+
+
+def _bundles(i: np.ndarray, k: np.ndarray, s: np.ndarray, buckets: int) -> pa.Table:
+    """The entries packed by group of documents, so that a bucket sends a row to each group at most."""
+    with np.errstate(over="ignore"):
+        dest = (mix64(i.astype(np.uint64) ^ k.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    rows = []
+    order = np.argsort(dest, kind="stable")
+    cuts = np.flatnonzero(np.diff(dest[order], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(order)] if len(order) else [], strict=True):
+        own = order[a:b]
+        ids, keys, starts, at, ends = _by_document(i[own], k[own], s[own])
+        rows.append((int(dest[own[0]]), ids[at].tobytes(), keys[at].tobytes(), (ends - at).astype(np.uint32).tobytes(), starts.astype(np.uint32).tobytes()))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _BUNDLE.split(", ")])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each marked document of a group."""
+    parts = []
+    for row in table.select(["ids", "keys", "sizes", "starts"]).to_pylist():
+        sizes = np.frombuffer(row["sizes"], np.uint32)
+        parts.append((np.repeat(np.frombuffer(row["ids"], np.int64), sizes), np.repeat(np.frombuffer(row["keys"], np.int64), sizes), np.frombuffer(row["starts"], np.uint32)))
+    i, k, s, cuts, ends = _by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return pa.table({"id": pa.array(i[cuts], pa.int64()), "key": pa.array(k[cuts], pa.int64()), "starts": pa.array([s[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+
+
+def _settle(keep_first: bool, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """The marks of one bucket: entries whose hash occurs elsewhere too (but the first, with ``keep_first``)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -131,11 +166,7 @@ def _settle(keep_first: bool) -> Callable[[pa.Table], pa.Table]:
             picked = order[picked]
             direct.append((i[picked], k[picked], s[picked]))
         i, k, s = (np.concatenate(x) for x in zip(*direct, strict=True)) if direct else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
-        order = np.lexsort((s, k, i))
-        i, k, s = i[order], k[order], s[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.empty(0, int)
-        ends = [*cuts[1:], len(i)] if len(i) else []
-        return pa.table({"id": pa.array(i[cuts], pa.int64()), "key": pa.array(k[cuts], pa.int64()), "starts": pa.array([s[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+        return _bundles(i, k, s, buckets)
 
     return run
 
@@ -174,7 +205,7 @@ def _anchor_blocks(buckets: int):
 def _window_blocks(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            data, marks = batch.column("data").to_pylist(), batch.column("marks")
+            data, marks = batch.column("data").to_pylist(), batch.column("starts")
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
             for lo, hi in batches_of_bytes(data, CHUNK):
                 words, counts = word_hashes([x or b"" for x in data[lo:hi]], WHITESPACE)
@@ -183,10 +214,9 @@ def _window_blocks(buckets: int):
                 # a window is open if an anchor starts at most PERIOD - 1 words behind its start
                 steps = np.zeros(len(words) + 1, np.int32)
                 for i in range(lo, hi):
-                    for blob in marks[i].as_py():
-                        at = np.frombuffer(blob, np.uint32).astype(np.int64)
-                        np.add.at(steps, first[i - lo] + np.maximum(at - (PERIOD - 1), 0), 1)
-                        np.add.at(steps, first[i - lo] + at + 1, -1)
+                    at = np.frombuffer(marks[i].as_py(), np.uint32).astype(np.int64)
+                    np.add.at(steps, first[i - lo] + np.maximum(at - (PERIOD - 1), 0), 1)
+                    np.add.at(steps, first[i - lo] + at + 1, -1)
                 opened = np.cumsum(steps[:-1]) > 0
                 at = np.flatnonzero(opened & (pos + LENGTH <= counts[doc]))
                 if len(at):
@@ -196,13 +226,12 @@ def _window_blocks(buckets: int):
     return lambda batches: _blocks(rows(batches))
 
 
-def covered(n: int, starts: list[bytes]) -> np.ndarray:
+def covered(n: int, starts: bytes) -> np.ndarray:
     """Which of ``n`` words the windows at ``starts`` cover."""
     steps = np.zeros(n + 1, np.int32)
-    for blob in starts:
-        at = np.frombuffer(blob, np.uint32).astype(np.int64)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + LENGTH, -1)
+    at = np.frombuffer(starts, np.uint32).astype(np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + LENGTH, -1)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -212,7 +241,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the documents as id, key, data; one row for each of them that loses words: id, key,
-    whole - its whole text is that of a smaller id -, starts - of the windows to remove)."""
+    whole - its whole text is that of a smaller id -, starts - packed, of the windows to remove)."""
     rows = _rows(docs)
     bytes_in = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(8, -(-bytes_in // BUCKET_BYTES))
@@ -222,12 +251,14 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = salted_lookup(texts, firsts, ["same"]).where("id > first").select("id", "key").distinct()
 
     own = rows.join(copies.withColumn("copy", F.lit(True)), ["id", "key"], "left").where("copy is null").select("id", "key", "data")
-    grouped = own.mapInArrow(_anchor_blocks(buckets), _BLOCK).groupBy("bucket").applyInArrow(_settle(False), _MARK)
-    anchors = grouped.groupBy("id", "key").agg(F.collect_list("starts").alias("marks"))
+    blocks = own.mapInArrow(_anchor_blocks(buckets), _BLOCK)
+    anchors = blocks.groupBy("bucket").applyInArrow(_settle(False, buckets), _BUNDLE).groupBy("dest").applyInArrow(_gather, _MARK)
     held = rows.join(anchors, ["id", "key"])
-    windows = held.mapInArrow(_window_blocks(buckets), _BLOCK).groupBy("bucket").applyInArrow(_settle(True), _MARK)
-    lost = windows.select("id", "key", "starts", F.lit(False).alias("whole")).unionByName(copies.select("id", "key", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("whole")))
-    return rows, lost.groupBy("id", "key").agg(F.max("whole").alias("whole"), F.collect_list("starts").alias("starts"))
+    blocks = held.mapInArrow(_window_blocks(buckets), _BLOCK)
+    windows = blocks.groupBy("bucket").applyInArrow(_settle(True, buckets), _BUNDLE).groupBy("dest").applyInArrow(_gather, _MARK)
+    # a copy has no anchors of its own, so no document is in both
+    lost = windows.select("id", "key", F.lit(False).alias("whole"), "starts").unionByName(copies.select("id", "key", F.lit(True).alias("whole"), F.lit(None).cast("binary").alias("starts")))
+    return rows, lost
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
