@@ -28,9 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import batches_of_bytes, durable, salted_lookup
 from .components import components
@@ -46,6 +45,7 @@ AGREE = 18
 DF_BUCKETS = 1 << 18
 CHUNK = 1 << 20
 BLOCK = 1024
+SALT_ROWS = 256
 _TABLE_BITS = 15
 
 
@@ -143,11 +143,14 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity.  Each side's text is joined by
-    its id; the one text of a hot ``a`` is written once for each salt."""
-    left = pairs.join(texts.select(F.col("cid").alias("b"), F.col("data").alias("data_b")), "b")
-    right = texts.select(F.col("cid").alias("a"), F.col("data").alias("data_a"))
-    both = left.join(right, "a")
+    """The pairs (a, b) whose texts reach the similarity.  Each side's text is joined by its
+    id; an ``a`` of many pairs is split, and its text written once for each part."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+    salted = salted_lookup(pairs, hot, ["a"]).select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"), F.lit(0)).alias("salt"))
+    left = salted.join(texts.select(F.col("cid").alias("b"), F.col("data").alias("data_b")), "b")
+    right = texts.select(F.col("cid").alias("a"), F.col("data").alias("data_a")).join(hot, "a", "left")
+    right = right.select("a", "data_a", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    both = left.join(right, ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +188,15 @@ def _cross(batch_key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs.min(axis=0) if pairs.size else pairs[0], pa.int64()), "b": pa.array(pairs.max(axis=0) if pairs.size else pairs[1], pa.int64())})
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least id of its class), kept, n_copies (rows with the same text),
-    n_class (rows of the class), for every row."""
+def _text_key() -> Column:
+    return F.md5(F.coalesce(F.concat(F.lit("t").cast("binary"), F.col("text").cast("binary")), F.lit("n").cast("binary")))
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and same - the key of its text - of every row; same, least - its least id -, n and root of every text)."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(fit_idf(docs))
     kind = docs.schema["doc_id"].dataType
-    same = F.md5(F.coalesce(F.concat(F.lit("t").cast("binary"), F.col("text").cast("binary")), F.lit("n").cast("binary")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +208,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
                 sigs += [r.tobytes() if n else None for r, n in zip(rows, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(sigs, pa.binary())], names=["doc_id", "same", "sig"])
 
-    rows = docs.select("doc_id", same.alias("same"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select("doc_id", _text_key().alias("same"), F.col("text").cast("binary").alias("data"))
     signed = durable(rows.mapInArrow(sign, f"doc_id {kind.simpleString()}, same string, sig binary"))
     classes = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
@@ -221,7 +226,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     # the texts of candidates only: one row of each class
     wanted = first.select(F.col("a").alias("cid")).unionByName(first.select(F.col("b").alias("cid"))).distinct()
     chosen = classes.join(wanted, "cid").select("cid", "same", "least")
-    texts = rows.join(chosen, (rows["same"] == chosen["same"]) & rows["doc_id"].eqNullSafe(chosen["least"])).select("cid", "data").dropDuplicates(["cid"])
+    texts = durable(rows.join(chosen, (rows["same"] == chosen["same"]) & rows["doc_id"].eqNullSafe(chosen["least"])).select("cid", "data").dropDuplicates(["cid"]))
     links = durable(_verify(first, texts, idf, similarity))
     roots = components(links)
 
@@ -237,17 +242,26 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     roots = components(links)
 
     named = classes.select("cid", "same", "least", "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return signed.select("doc_id", "same"), named
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the least id of its class), kept, n_copies (rows with the same text),
+    n_class (rows of the class), for every row."""
+    rows, named = _classes(docs, similarity)
     summed = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
     table = salted_lookup(named.select("cid", "root", "same", "n"), summed, ["root"]).select("same", "class_id", F.col("n").alias("n_copies"), "n_class")
-    out = salted_lookup(signed.select("doc_id", "same"), table, ["same"])
+    out = salted_lookup(rows, table, ["same"])
+    kind = docs.schema["doc_id"].dataType
     return out.select("doc_id", F.col("class_id").cast(kind).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"), "n_copies", "n_class")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class with all its columns: the least id, of equal ids one row."""
-    classes = near_duplicate_classes(docs, similarity)
-    kept = classes.where(F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    nameless = docs.where(F.col("doc_id").isNull()).limit(0)
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").unionByName(nameless)
+    """One row of each class with all its columns: that of the least id (without any id: of the
+    least text key), and one of the rows that repeat it."""
+    _, named = _classes(docs, similarity)
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "same")).alias("best"))
+    best = best.select(F.col("best.same").alias("_best"), F.col("best.least").alias("_least"))
+    rows = docs.withColumn("_same", _text_key())
+    chosen = rows.join(best, (F.col("_same") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    return chosen.dropDuplicates(["_same"]).select(*docs.columns)

@@ -13,11 +13,16 @@ from .licenses import scan_licenses
 from .minhash import near_duplicate_classes
 from .mixing import mix_sources
 from .quality import score_quality
+from .quotes import link_conversations
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
 from .vectors import near_duplicates
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
@@ -55,4 +60,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_language_id, op4_license_scan, op5_weighted_minhash, op6_decontamination, op7_quality_mil, op8_source_mixing, op9_substring_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quotation_linking, op2_embedding_dedup, op3_language_id, op4_license_scan, op5_weighted_minhash, op6_decontamination, op7_quality_mil, op8_source_mixing, op9_substring_dedup, op10_secret_scan)}
