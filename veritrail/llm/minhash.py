@@ -12,7 +12,8 @@ Exact copies are one class from the start.  Pairs are never listed inside a band
 first each member is checked against the least of its band, and the verified
 links form components.  Only bands whose members are then in several components
 are looked at again, in blocks: members of different components whose samples
-agree as often as similar texts do (``AGREE`` of ``SAMPLES``) are checked too.
+agree as often as similar texts do (``AGREE`` of ``SAMPLES``) are checked inside
+the block until none are left apart, and only links that join components leave it.
 
 Defined cases
     null and empty texts, and texts without a word, are near to nothing; empty ones
@@ -44,7 +45,7 @@ SAMPLES = BANDS * ROWS
 AGREE = 18
 DF_BUCKETS = 1 << 18
 CHUNK = 1 << 20
-BLOCK = 1024
+BLOCK = 512
 SALT_ROWS = 256
 _TABLE_BITS = 15
 
@@ -171,21 +172,60 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
     return both.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
-def _cross(batch_key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one band block whose components differ and whose samples agree often enough."""
-    cid, root = table.column("cid").to_numpy(), table.column("root").to_numpy()
-    role = table.column("role").to_numpy()
-    rows = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(cid), SAMPLES)
-    left, right, out = np.flatnonzero(role != 1), np.flatnonzero(role != 0), []
-    for at in range(0, len(left), 64):
-        some = left[at : at + 64]
-        agree = np.zeros((len(some), len(right)), np.int16)
-        for k in range(SAMPLES):
-            agree += rows[some, k][:, None] == rows[right, k][None, :]
-        i, j = np.nonzero((agree >= AGREE) & (root[some][:, None] != root[right][None, :]))
-        out.append(np.stack([cid[some[i]], cid[right[j]]]))
-    pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-    return pa.table({"a": pa.array(pairs.min(axis=0) if pairs.size else pairs[0], pa.int64()), "b": pa.array(pairs.max(axis=0) if pairs.size else pairs[1], pa.int64())})
+def _cross(idf, similarity: float):
+    """Links of one band block that join components: members of different components whose samples
+    agree often enough, most alike first, are checked until those that are left are joined."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cid, root, role = (table.column(c).to_numpy() for c in ("cid", "root", "role"))
+        rows = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(cid), SAMPLES)
+        bands, band = _bands(rows), key[0].as_py()
+        left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        pairs, agreed = [], []
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            agree = np.zeros((len(some), len(right)), np.int16)
+            for k in range(SAMPLES):
+                agree += rows[some, k][:, None] == rows[right, k][None, :]
+            i, j = np.nonzero((agree >= AGREE) & (root[some][:, None] != root[right][None, :]))
+            n, i, j = agree[i, j], some[i], right[j]
+            # a pair belongs to the first band that it shares
+            own = np.take_along_axis(bands[i], (bands[i] == bands[j]).argmax(axis=1)[:, None], axis=1)[:, 0] == band
+            own &= (role[i] != 2) | (i < j)
+            pairs.append(np.stack([i[own], j[own]], axis=1))
+            agreed.append(n[own])
+        pairs, agreed = (np.concatenate(pairs), np.concatenate(agreed)) if pairs else (np.empty((0, 2), int), np.empty(0))
+        pairs = pairs[np.argsort(-agreed, kind="stable")]
+        _, label = np.unique(root, return_inverse=True)
+        parent = np.arange(len(label))
+        data, known, links = table.column("data"), {}, []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def weights(x: int) -> tuple[np.ndarray, np.ndarray]:
+            if x not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[x] = weighted_sets([data[x].as_py()], idf.value)[:2]
+            return known[x]
+
+        while len(pairs):
+            for i, j in pairs[:512]:
+                x, y = find(label[i]), find(label[j])
+                if x != y and weighted_jaccard(weights(i), weights(j)) >= similarity:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((cid[i], cid[j]))
+            pairs = pairs[512:]
+            tops = np.array([find(x) for x in range(len(parent))])
+            pairs = pairs[tops[label[pairs[:, 0]]] != tops[label[pairs[:, 1]]]]
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(found.min(axis=1)), "b": pa.array(found.max(axis=1))})
+
+    return run
 
 
 def _text_key() -> Column:
@@ -233,13 +273,14 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     # bands that still hold several components
     rooted = members.select("band", F.col("b").alias("cid"), "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    again = durable(rooted.join(mixed, "band").join(classes.select("cid", "sig"), "cid").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
-    one = again.select("band", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), "own", "cid", "root", "sig")
-    one = one.select("band", "x", "y", F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("role"), "cid", "root", "sig")
-    two = again.where("own > 0").select("band", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("x"), F.col("own").alias("y"), F.lit(1).alias("role"), "cid", "root", "sig")
-    more = durable(one.unionByName(two).groupBy("band", "x", "y").applyInArrow(_cross, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verify(more, texts, idf, similarity))
-    roots = components(links)
+    again = rooted.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    again = again.join(classes.select("cid", "sig").join(texts, "cid"), "cid")
+    # block x meets block y: each member stands in one row of blocks and one column
+    spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("role")))
+    met = again.select("band", F.explode(spots).alias("s"), "cid", "root", "sig", "data").select("band", "s.x", "s.y", "s.role", "cid", "root", "sig", "data")
+    compare = _cross(idf, similarity)
+    more = met.groupBy("band", "x", "y").applyInArrow(lambda key, table: compare(key, table), "a long, b long")
+    roots = components(links.unionByName(more))
 
     named = classes.select("cid", "same", "least", "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     return signed.select("doc_id", "same"), named
