@@ -181,17 +181,17 @@ def cut(text: bytes, spans: np.ndarray) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
     """The columns of ``docs``.  Documents that hold ``least_items`` items, or half of the
     windows of any item, go; from the others the hit words are cut out (n_chars follows)."""
-    marked = match(docs, benchmark).where((F.size("items") < least_items) & (F.size("contained") == 0))
-    shape = docs.schema
+    kept = [c for c in docs.columns if c != "text"]
+    whole = docs.select(F.struct(*kept).alias("row"), "text")
+    marked = match(whole, benchmark).where((F.size("items") < least_items) & (F.size("contained") == 0)).select("row", "_data", "hits")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() if not h.as_py() else cut(t.as_py(), np.frombuffer(h.as_py(), np.uint32).reshape(-1, 2)) for t, h in zip(batch.column("_data"), batch.column("hits"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "_data"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], names=["row", "_data"])
 
-    kept = [c for c in docs.columns if c != "text"]
-    rows = marked.select(*kept, "_data", "hits")
-    out = rows.mapInArrow(clean, rows.drop("hits").schema).withColumn("text", F.col("_data").cast("string"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(shape["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = marked.mapInArrow(clean, marked.drop("hits").schema).select("row", F.col("_data").cast("string").alias("text"))
+    columns = {c: F.col("row")[c] for c in kept} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])

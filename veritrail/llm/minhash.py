@@ -303,6 +303,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     _, named = _classes(docs, similarity)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "same")).alias("best"))
     best = best.select(F.col("best.same").alias("_best"), F.col("best.least").alias("_least"))
-    rows = docs.withColumn("_same", _text_key())
-    chosen = rows.join(best, (F.col("_same") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    return chosen.dropDuplicates(["_same"]).select(*docs.columns)
+    rows = docs.select(_text_key().alias("_same"), F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("row"))
+    chosen = rows.join(best, (F.col("_same") == F.col("_best")) & F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+    return chosen.dropDuplicates(["_same"]).select("row.*")

@@ -19,7 +19,8 @@ Defined cases
     weight 0, get one slot of each period; more than ``MAX_SOURCES`` sources raise
     ``ValueError`` (group them first); repeated rows are kept and placed one by one,
     rows of equal id in the order of a hash of their text; null ids come first;
-    an empty table gives an empty result; other columns stay as they are.
+    an empty table gives an empty result; other columns stay as they are, but those named
+    as one of ``ADDED`` give way.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import Window
 MAX_SOURCES = 1024
 BLOCK_ROWS = 32
 BUCKET_ROWS = 4096
+#: Columns of the result; input columns of these names are replaced.
+ADDED = ("block", "release", "deadline", "slot", "in_block", "within")
 
 
 def period_for(n_sources: int) -> int:
@@ -77,7 +80,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     the square root of its number of rows.  Order by (slot, in_block) to read the mix.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumns({"_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "_order": _order_hash()})
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_src"), _order_hash().alias("_order"), tie.alias("_tie"))
     counts = {r["_src"]: r["n"] for r in keyed.groupBy("_src").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
@@ -101,19 +105,18 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     sized = keyed.groupBy("_src", "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sized.select("_src", "_bucket", before.alias("_before"))
-    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    inside = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_order", "doc_id", tie)) - 1
+    inside = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_order", "row.doc_id", "_tie")) - 1
     ranked = keyed.withColumn("_inside", inside).join(offsets.hint("shuffle_merge"), ["_src", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside"))
-    ranked = ranked.withColumns({"block": F.expr(f"_rank div {block_rows}"), "in_block": F.expr(f"_rank % {block_rows}")})
+    ranked = ranked.withColumns({"_block": F.expr(f"_rank div {block_rows}"), "_in_block": F.expr(f"_rank % {block_rows}")})
     # one period of the schedule has at most 16 x MAX_SOURCES rows
-    ranked = ranked.join(F.broadcast(quota.select("_src", "slots")), "_src").withColumn("_k", F.expr("block % slots"))
+    ranked = ranked.join(F.broadcast(quota.select("_src", "slots")), "_src").withColumn("_k", F.expr("_block % slots"))
     placed = ranked.join(F.broadcast(plan.select("_src", F.col("k").alias("_k"), F.col("slot").alias("_slot"))), ["_src", "_k"])
     return placed.select(
-        *[placed[c] for c in docs.columns], "block",
-        F.expr(f"(block * {period}) div slots").alias("release"), F.expr(f"((block + 1) * {period} + slots - 1) div slots").alias("deadline"),
-        F.expr(f"(block div slots) * {period} + _slot").alias("slot"), "in_block",
-        F.expr(f"(block div slots) * {period} + _slot < {gap}").alias("within"),
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], F.col("_block").alias("block"),
+        F.expr(f"(_block * {period}) div slots").alias("release"), F.expr(f"((_block + 1) * {period} + slots - 1) div slots").alias("deadline"),
+        F.expr(f"(_block div slots) * {period} + _slot").alias("slot"), F.col("_in_block").alias("in_block"),
+        F.expr(f"(_block div slots) * {period} + _slot < {gap}").alias("within"),
     )
 
 

@@ -224,6 +224,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fold
     """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
     open_labels = labels.select("doc_id", "quality").where(fold_of("doc_id", folds.get("folds", 4)) != folds.get("held_fold", 2))
     model = fit(docs.select("doc_id", "text"), open_labels)
-    whole = docs.withColumn("_text", F.col("text"))
-    scored = score(whole, model, "_score").where(F.col("_score") >= threshold)
-    return scored.withColumnRenamed("_text", "text").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score(whole, model).where(F.col("score") >= threshold).select("row.*")

@@ -169,7 +169,8 @@ def redact_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source",
     live = salted_lookup(flat, ownership(found, wide_owners).select("hash", "wide"), ["hash"]).where(~F.col("wide") & ~F.col("sham"))
     by_doc = live.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("hash").alias("_live"))
     kept = [c for c in docs.columns if c != "text"]
-    rows = suspects.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*kept, F.col("text").cast("binary").alias("_data"), "_live")
+    rows = suspects.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("_doc"), F.col("text").cast("binary").alias("_data"))
+    rows = rows.join(by_doc, F.col("_doc").eqNullSafe(F.col("_id")), "left").select("row", "_data", "_live")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +182,11 @@ def redact_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source",
                         out += [text[last : max(a, last)], f"[{kind}]".encode() if a >= last else b""]
                         last = b
                 texts.append(b"".join([*out, text[last:]]) if out else text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "_data"])
-
-    cleaned = rows.mapInArrow(clean, rows.drop("_live").schema).withColumn("text", F.col("_data").cast("string"))
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~maybe).unionByName(cleaned.select(*docs.columns))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], names=["row", "_data"])
+
+    out = rows.mapInArrow(clean, rows.drop("_live").schema).select("row", F.col("_data").cast("string").alias("text"))
+    columns = {c: F.col("row")[c] for c in kept} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    cleaned = out.select(*[columns[c].alias(c) for c in docs.columns])
+    return docs.where(~maybe).unionByName(cleaned)
