@@ -105,7 +105,7 @@ def content_digest_column(salt: Column, canonical: Column) -> Column:
 
 def quoted(value: Column) -> Column:
     """A string as a JSON string: what ``to_json`` escapes is what JSON asks for."""
-    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.when(value.isNotNull(), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
 
 
 def record_digest_column(kind: Column, id_: Column, seq: Column, prev: Column, digest: Column, meta: Column) -> Column:
