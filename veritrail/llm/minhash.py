@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import batches_of_bytes, durable, salted_lookup
-from .components import components
 from .words import LOWER, PLAIN, positions_in, shingles, word_hashes
 
 WIDTH = 5

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import durable, salted_lookup, sample_share
-from .components import components
 
 THRESHOLD = 0.95
 PROBE_SIGMAS = 3.0
