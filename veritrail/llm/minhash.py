@@ -47,6 +47,8 @@ DF_BUCKETS = 1 << 18
 CHUNK = 1 << 20
 BLOCK = 512
 SALT_ROWS = 256
+#: Shingles that a task keeps of one block.
+HELD_SHINGLES = 3_000_000
 _TABLE_BITS = 15
 
 
@@ -174,54 +176,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
 
 def _cross(idf, similarity: float):
     """Links of one band block that join components: members of different components whose samples
-    agree often enough, most alike first, are checked until those that are left are joined."""
+    agree often enough are checked, unless links found before have joined them."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cid, root, role = (table.column(c).to_numpy() for c in ("cid", "root", "role"))
         rows = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(cid), SAMPLES)
         bands, band = _bands(rows), key[0].as_py()
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-        pairs, agreed = [], []
+        pairs = []
         for at in range(0, len(left), 64):
             some = left[at : at + 64]
             agree = np.zeros((len(some), len(right)), np.int16)
             for k in range(SAMPLES):
                 agree += rows[some, k][:, None] == rows[right, k][None, :]
             i, j = np.nonzero((agree >= AGREE) & (root[some][:, None] != root[right][None, :]))
-            n, i, j = agree[i, j], some[i], right[j]
+            i, j = some[i], right[j]
             # a pair belongs to the first band that it shares
             own = np.take_along_axis(bands[i], (bands[i] == bands[j]).argmax(axis=1)[:, None], axis=1)[:, 0] == band
             own &= (role[i] != 2) | (i < j)
             pairs.append(np.stack([i[own], j[own]], axis=1))
-            agreed.append(n[own])
-        pairs, agreed = (np.concatenate(pairs), np.concatenate(agreed)) if pairs else (np.empty((0, 2), int), np.empty(0))
-        pairs = pairs[np.argsort(-agreed, kind="stable")]
+        pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), int)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
         _, label = np.unique(root, return_inverse=True)
-        parent = np.arange(len(label))
-        data, known, links = table.column("data"), {}, []
+        top = np.arange(label.max(initial=0) + 1)  # the component that each root has come to
+        data, known, held, links = table.column("data"), {}, 0, []
 
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def weights(x: int) -> tuple[np.ndarray, np.ndarray]:
+        def weights(x: int) -> tuple[np.ndarray, np.ndarray, float]:
+            nonlocal held
             if x not in known:
-                if len(known) >= 256:
+                if held > HELD_SHINGLES:
                     known.clear()
-                known[x] = weighted_sets([data[x].as_py()], idf.value)[:2]
+                    held = 0
+                hashes, w, _ = weighted_sets([data[x].as_py()], idf.value)
+                known[x] = hashes, w, float(w.sum())
+                held += len(w)
             return known[x]
 
-        while len(pairs):
-            for i, j in pairs[:512]:
-                x, y = find(label[i]), find(label[j])
-                if x != y and weighted_jaccard(weights(i), weights(j)) >= similarity:
-                    parent[max(x, y)] = min(x, y)
-                    links.append((cid[i], cid[j]))
-            pairs = pairs[512:]
-            tops = np.array([find(x) for x in range(len(parent))])
-            pairs = pairs[tops[label[pairs[:, 0]]] != tops[label[pairs[:, 1]]]]
+        cuts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(pairs)] if len(cuts) else [], strict=True):
+            i = pairs[a, 0]
+            own, w, total = weights(i)
+            partners = pairs[a:b, 1]
+            for at in range(0, len(partners), 64):
+                some = [j for j in partners[at : at + 64] if top[label[j]] != top[label[i]]]
+                if not some or not len(own):
+                    continue
+                sets = [weights(j) for j in some]
+                theirs = np.concatenate([x[0] for x in sets])
+                spot = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                both = np.where(own[spot] == theirs, np.minimum(w[spot], np.concatenate([x[1] for x in sets])), 0)
+                both = np.add.reduceat(both, np.cumsum([0, *(len(x[0]) for x in sets[:-1])]))
+                alike = both / (total + np.array([x[2] for x in sets]) - both) >= similarity
+                for j in (j for j, ok in zip(some, alike, strict=True) if ok):
+                    x, y = top[label[i]], top[label[j]]
+                    if x != y:
+                        top[top == max(x, y)] = min(x, y)
+                        links.append((cid[i], cid[j]))
         found = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(found.min(axis=1)), "b": pa.array(found.max(axis=1))})
 
