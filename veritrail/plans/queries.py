@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import parse_instant
@@ -23,7 +24,12 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' timestamps carry no zone
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -622,8 +628,6 @@ def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(star.EVENT_LOG) + " SELECT workspace, seq, id FROM (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY seq DESC) AS r FROM log) WHERE r <= 3")
 def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     last = F.row_number().over(Window.partitionBy("workspace").orderBy(F.desc("seq")))
     return star.event_log(spark, sf_dir).withColumn("r", last).where("r <= 3").select("workspace", "seq", "id")
 

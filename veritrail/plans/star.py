@@ -8,7 +8,7 @@ O), for 60 days (F) or for 120 (P).  Each definition stands beside its SQL twin.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -96,8 +96,6 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``digest`` depends on the row alone, so ``prev`` needs no fold.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("workspace").orderBy("pos")
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("workspace"), F.col("event_id").alias("pos"), F.concat(F.lit("e:"), "event_id").alias("id"), F.lit("node").alias("kind"),
