@@ -2,15 +2,17 @@
 
 A line that begins with ``>`` marks is quoted; its level is the number of marks.
 Runs of lines of one level form a block, blocks are cut into sentences, and the
-normalised sentences (lower case, letters and digits only, ``MIN_WORDS`` words or
-more) are the passages that are hashed.  The original of a quoted passage is the
+normalised sentences (lower case, letters and digits only; as they are where they
+have none) are the passages that are hashed.  The original of a quoted passage is the
 first message of the same conversation that says it itself (unquoted, in an
 earlier turn), else the first message of the corpus that does, the quoting
-message excepted.  First occurrences are minima by hash, so a passage that many
-messages share is pre-aggregated and never paired with itself.
+message excepted.  Short passages (fewer than ``MIN_WORDS`` words, and fewer than
+``MIN_SIGNS`` letters of a script without spaces) say too little to be followed into other
+conversations and are linked inside their own.  First occurrences are minima by hash, so
+a passage that many messages share is pre-aggregated and never paired with itself.
 
 A message answers the earlier message of its conversation from which most of its
-level-1 passages come (of equals, the latest); without one, the message with the
+level-1 passages come (short ones decide between equals, then the latest); without one, the message with the
 preceding turn number; without that, it begins a thread.  Threads are followed to
 their first message by pointer doubling.  A conversation in reply order is its
 rows by (conv_id, thread_turn, turn): turns of a thread follow what they answer.
@@ -36,24 +38,29 @@ from pyspark.sql import functions as F
 from .common import durable, salted_lookup
 
 MIN_WORDS = 3
+MIN_SIGNS = 6
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _WROTE = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])(?![。！？])")
 _WORD = re.compile(r"[^\W_]+")
+#: Thai to Myanmar, Khmer, kana and Han: letters of scripts that put no spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def passages(block: str) -> list[bytes]:
-    """Hashes of the normalised sentences of a block."""
+def passages(block: str) -> list[tuple[bytes, bool]]:
+    """(hash, short or not) of the normalised sentences of a block."""
     out = []
     for sentence in _SENTENCE.split(block):
         words = _WORD.findall(sentence.lower())
-        if len(words) >= MIN_WORDS:
-            out.append(hashlib.md5(" ".join(words).encode()).digest())
+        said = " ".join(words or sentence.split())
+        if said:
+            short = len(words) < MIN_WORDS and len(_UNSPACED.findall(said)) < MIN_SIGNS
+            out.append((hashlib.md5(said.encode("utf-8", "surrogatepass")).digest(), short))
     return out
 
 
-def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, bytes]], int]:
-    """(text without quotes, its passages, quoted (level, passage), quoted lines)."""
+def parse(text: str | None) -> tuple[str, list[tuple[bytes, bool]], list[tuple[int, bytes, bool]], int]:
+    """(text without quotes, its passages, quoted (level, *passage), quoted lines)."""
     if not text:
         return "", [], [], 0
     if ">" not in text:
@@ -73,42 +80,45 @@ def parse(text: str | None) -> tuple[str, list[bytes], list[tuple[int, bytes]],
         else:
             blocks.append((level, [line[marks.end() :]], len(kept)))
     for level, lines, _ in blocks:
-        quoted += [(level, h) for h in passages(" ".join(lines))]
+        quoted += [(level, *p) for p in passages(" ".join(lines))]
     own = "\n".join(kept).strip("\n") if n else text
     return own, passages(" ".join(kept)), quoted, n
 
 
-_PARSED = "own string, said array<binary>, quoted array<struct<level:int,hash:binary>>, n_quoted_lines long"
+_PARSED = "own string, said array<struct<hash:binary,short:boolean>>, quoted array<struct<level:int,hash:binary,short:boolean>>, n_quoted_lines long"
 
 
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary())]))
+    passage = [("hash", pa.binary()), ("short", pa.bool_())]
+    quote = pa.list_(pa.struct([("level", pa.int32()), *passage]))
     for batch in batches:
         at = batch.schema.get_field_index("text")
         own, said, quoted, lines = zip(*(parse(t) for t in batch.column(at).to_pylist()), strict=True) if batch.num_rows else ((), (), (), ())
         kept = [i for i in range(batch.num_columns) if i != at]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in kept), pa.array(own, pa.string()), pa.array(said, pa.list_(pa.binary())), pa.array([[{"level": a, "hash": h} for a, h in q] for q in quoted], quote), pa.array(lines, pa.int64())],
+            [*(batch.column(i) for i in kept), pa.array(own, pa.string()), pa.array([[{"hash": h, "short": s} for h, s in p] for p in said], pa.list_(pa.struct(passage))), pa.array([[{"level": a, "hash": h, "short": s} for a, h, s in q] for q in quoted], quote), pa.array(lines, pa.int64())],
             names=[*(batch.schema.names[i] for i in kept), "own", "said", "quoted", "n_quoted_lines"],
         )
 
 
 def link_quotes(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, level, hash, from_conv, from_turn of every quoted passage (null without an original)."""
-    said = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode("said").alias("hash"))
-    asked = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
-    wanted = said.join(asked.select("hash").distinct(), "hash", "left_semi")
-    here = wanted.groupBy("conv_id", "hash").agg(F.min("turn").alias("here_turn"))
+    """conv_id, turn, level, hash, short, from_conv, from_turn of every quoted passage (null without an original)."""
+    said = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode("said").alias("p")).select("conv_id", "turn", "p.*")
+    asked = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*")
+    wanted = said.where("not short").join(asked.where("not short").select("hash").distinct(), "hash", "left_semi").select("conv_id", "turn", "hash", "short")
+    inner = said.where("short").join(asked.where("short").select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    wanted = wanted.unionByName(inner)
+    here = wanted.groupBy("conv_id", "hash").agg(F.min("turn").alias("here_turn"), F.first("short").alias("_short"))
     # the two first conversations: the second serves where the first is the quoting message itself
-    spots = here.select("hash", F.struct(F.col("conv_id").alias("c"), F.col("here_turn").alias("t")).alias("spot"))
+    spots = here.where("not _short").select("hash", F.struct(F.col("conv_id").alias("c"), F.col("here_turn").alias("t")).alias("spot"))
     first = spots.groupBy("hash").agg(F.min("spot").alias("first"))
     second = spots.join(first, "hash").where("spot <> first").groupBy("hash").agg(F.min("spot").alias("second"))
-    linked = salted_lookup(asked, here, ["conv_id", "hash"])
+    linked = salted_lookup(asked, here.drop("_short"), ["conv_id", "hash"])
     linked = salted_lookup(linked, first.join(second, "hash", "left"), ["hash"])
     inside = F.col("here_turn") < F.col("turn")
     other = F.when(~F.col("first.c").eqNullSafe(F.col("conv_id")), F.col("first")).otherwise(F.col("second"))
     spot = F.when(inside, F.struct(F.col("conv_id").alias("c"), F.col("here_turn").alias("t"))).otherwise(other)
-    return linked.select("conv_id", "turn", "level", "hash", spot["c"].alias("from_conv"), spot["t"].alias("from_turn"))
+    return linked.select("conv_id", "turn", "level", "hash", "short", spot["c"].alias("from_conv"), spot["t"].alias("from_turn"))
 
 
 def _threads(messages: DataFrame) -> DataFrame:
@@ -127,8 +137,8 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     parent_turn, thread_turn, depth of every row."""
     parsed = durable(conversations.select("conv_id", "turn", "role", "text").mapInArrow(_parse_rows, _schema(conversations)))
     links = durable(link_quotes(parsed))
-    votes = links.where((F.col("level") == 1) & (F.col("from_conv") == F.col("conv_id")) & (F.col("from_turn") < F.col("turn"))).groupBy("conv_id", "turn", "from_turn").agg(F.count("*").alias("n"))
-    answered = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "from_turn"))["from_turn"].alias("answered"))
+    votes = links.where((F.col("level") == 1) & (F.col("from_conv") == F.col("conv_id")) & (F.col("from_turn") < F.col("turn"))).groupBy("conv_id", "turn", "from_turn").agg(F.count_if(~F.col("short")).alias("n"), F.count_if("short").alias("n_short"))
+    answered = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "n_short", "from_turn"))["from_turn"].alias("answered"))
     messages = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn").distinct()
     before = messages.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
     related = messages.join(before, ["conv_id", "turn"], "left").join(answered, ["conv_id", "turn"], "left").withColumn("parent", F.coalesce("answered", "before"))
