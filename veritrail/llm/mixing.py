@@ -8,6 +8,11 @@ its slots); as releases and deadlines repeat with the period, block ``i`` goes t
 slot ``(i div W) Q + slot of block (i mod W)``.  At every slot each source is less
 than one block away from its target.
 
+More than ``MAX_SOURCES`` sources are scheduled in levels: in the order of their
+weights, ``FAN`` of them each form a group that is a source of the level above, with the
+sum of their weights, and block ``i`` of a source is block ``slot`` of its group.  Windows
+compose as slots do, and each level is less than one of its blocks away from its target.
+
 No row is dropped: sources last until their own end, and ``within`` tells whether a
 slot lies before the first slot at which some source had run out.
 
@@ -16,8 +21,7 @@ running offsets, ranks inside a bucket), so a source of any size is spread out.
 
 Defined cases
     null sources are a source of their own; sources without a given weight, or with
-    weight 0, get one slot of each period; more than ``MAX_SOURCES`` sources raise
-    ``ValueError`` (group them first); repeated rows are kept and placed one by one,
+    weight 0, get one slot of each period (of their group); repeated rows are kept and placed one by one,
     rows of equal id in the order of a hash of their text; null ids come first;
     an empty table gives an empty result; other columns stay as they are, but those named
     as one of ``ADDED`` give way.
@@ -32,7 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from .common import durable, salted_lookup
+
+#: Sources that one level schedules at most, and sources of one group where there are more.
 MAX_SOURCES = 1024
+FAN = 128
 BLOCK_ROWS = 32
 BUCKET_ROWS = 4096
 #: Columns of the result; input columns of these names are replaced.
@@ -59,20 +67,112 @@ def quotas(sources: DataFrame, period: int) -> DataFrame:
     return floor.select("_src", "ix", (F.col("floor") + (rank <= missing).cast("long")).cast("long").alias("slots"))
 
 
-def schedule(quota: DataFrame, period: int) -> DataFrame:
-    """One period: ix, slots, k (block of the period), slot.  Earliest deadline first over released blocks."""
-    packed = quota.agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "slots"))), lambda x: x["slots"]).alias("w"))
-    fold = f"""aggregate(sequence(0, {period - 1}),
+def _fold(period: int) -> str:
+    """The sources ``w`` picks slot by slot, as SQL."""
+    return f"""aggregate(sequence(0, {period - 1}),
         named_struct('done', transform(w, x -> 0L), 'picked', cast(array() as array<int>)),
         (st, t) -> transform(array(array_min(filter(transform(w, (x, i) -> named_struct(
                 'due', if((st.done[i] * {period}L) div x <= t, ((st.done[i] + 1) * {period}L + x - 1) div x, null), 'i', i)), y -> y.due is not null))),
             pick -> named_struct('done', transform(st.done, (d, i) -> d + if(i = pick.i, 1L, 0L)), 'picked', concat(st.picked, array(pick.i))))[0],
         st -> st.picked)"""
-    slots = packed.select("w", F.posexplode(F.expr(fold)).alias("slot", "ix"))
+
+
+def schedule(quota: DataFrame, period: int) -> DataFrame:
+    """One period: ix, slots, k (block of the period), slot.  Earliest deadline first over released blocks."""
+    packed = quota.agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "slots"))), lambda x: x["slots"]).alias("w"))
+    slots = packed.select("w", F.posexplode(F.expr(_fold(period))).alias("slot", "ix"))
     k = F.row_number().over(Window.partitionBy("ix").orderBy("slot")) - 1
     return slots.select(F.col("ix").cast("long").alias("ix"), k.cast("long").alias("k"), F.col("slot").cast("long").alias("slot"))
 
 
+def _group_quotas(nodes: DataFrame, period: int) -> DataFrame:
+    """``nodes``: ix, gain -> node, group, at (from 0), slots of the group's period (one at least)."""
+    nodes = nodes.select(F.col("ix").alias("node"), F.expr(f"ix div {FAN}").alias("group"), F.expr(f"ix % {FAN}").alias("at"), "gain")
+    mates = Window.partitionBy("group")  # at most FAN rows
+    sized = nodes.withColumns({"p": F.col("gain") * (F.lit(period) - F.count("*").over(mates)), "g": F.greatest(F.sum("gain").over(mates), F.lit(1))})
+    floor = sized.select("node", "group", "at", (F.expr("p div g") + 1).alias("floor"), F.expr("p % g").alias("left"))
+    missing = F.lit(period) - F.sum("floor").over(mates)
+    return floor.select("node", "group", "at", (F.col("floor") + (F.row_number().over(mates.orderBy(F.desc("left"), "at")) <= missing).cast("long")).cast("long").alias("slots"))
+
+
+def _group_schedules(quota: DataFrame, period: int) -> DataFrame:
+    """One period of every group: node, k, slot."""
+    packed = quota.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "slots"))), lambda x: x["slots"]).alias("w"))
+    slots = packed.select("group", F.posexplode(F.expr(_fold(period))).alias("slot", "at"))
+    k = F.row_number().over(Window.partitionBy("group", "at").orderBy("slot")) - 1
+    return slots.select((F.col("group") * FAN + F.col("at")).alias("node"), k.cast("long").alias("k"), F.col("slot").cast("long").alias("slot"))
+
+
+def _levels(sources: DataFrame, n: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, int]]]:
+    """(_src, node of the lowest level; the levels upwards: quota by node and group, schedule by node and k, period)."""
+    parts = -(-n // BUCKET_ROWS)
+    placed = durable(sources.repartitionByRange(parts, "gain", "_src").sortWithinPartitions("gain", "_src").select("_src", "gain", F.monotonically_increasing_id().alias("id")))
+    placed = placed.select("_src", "gain", F.expr("id div 8589934592").alias("part"), F.expr("id % 8589934592").alias("inside"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row of each part
+    before = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", ahead.alias("before"))
+    nodes = durable(placed.join(F.broadcast(before), "part").select("_src", (F.col("before") + F.col("inside")).alias("ix"), "gain"))
+    named, levels = nodes.select("_src", F.col("ix").alias("node")), []
+    while n > MAX_SOURCES:
+        period = period_for(FAN)
+        quota = durable(_group_quotas(nodes, period))
+        levels.append((quota.select("node", "group", "slots"), durable(_group_schedules(quota, period)), period))
+        nodes = durable(nodes.groupBy(F.expr(f"ix div {FAN}").alias("ix")).agg(F.sum("gain").alias("gain")))
+        n = -(-n // FAN)
+    period = period_for(n)
+    quota = durable(quotas(nodes.select(F.lpad(F.col("ix").cast("string"), 6, "0").alias("_src"), "gain"), period))
+    levels.append((quota.select(F.col("ix").cast("long").alias("node"), F.lit(0).cast("long").alias("group"), "slots"), schedule(quota, period).withColumnRenamed("ix", "node"), period))
+    return named, levels
+
+
+def _climb(blocks: DataFrame, named: DataFrame, levels: list[tuple[DataFrame, DataFrame, int]]) -> DataFrame:
+    """``blocks``: _src, block -> with release, deadline, slot."""
+    now = salted_lookup(blocks.select("block", "_src"), named, ["_src"]).withColumns({"release": F.col("block"), "deadline": F.col("block") + 1, "slot": F.col("block")})
+    now = now.select("slot", "block", "_src", "node", "release", "deadline")
+    for quota, plan, period in levels:
+        now = salted_lookup(now, quota, ["node"]).withColumn("k", F.expr("slot % slots"))
+        now = salted_lookup(now, plan.withColumnRenamed("slot", "at"), ["node", "k"])
+        now = now.select(
+            F.expr(f"(slot div slots) * {period} + at").alias("slot"), "block", "_src", F.col("group").alias("node"),
+            F.expr(f"(release * {period}) div slots").alias("release"), F.expr(f"(deadline * {period} + slots - 1) div slots").alias("deadline"),
+        )
+    return now.drop("node")
+
+
+def _mix_many(docs: DataFrame, keyed: DataFrame, weights: Mapping[str, float] | None, block_rows: int, bucket_rows: int) -> DataFrame:
+    """As ``mix_sources`` for more sources than one level holds; no table of sources reaches the driver."""
+    counts = durable(keyed.groupBy("_src").agg(F.count("*").alias("n")))
+    if weights is None:
+        sources = counts.select("_src", "n", F.floor(F.sqrt("n") * 1000).cast("long").alias("gain"))
+    else:
+        given = [("n" if s is None else f"s{s}", int(round(float(w) * 10**6))) for s, w in weights.items()]
+        given = keyed.sparkSession.createDataFrame(given, "_src string, gain long")
+        sources = counts.join(given, "_src", "left").select("_src", "n", F.coalesce("gain", F.lit(0)).cast("long").alias("gain"))
+    size = counts.agg(F.count("*").alias("sources"), F.sum("n").alias("rows")).first()
+    named, levels = _levels(sources, size["sources"])
+    ranked = _ranked(keyed, size["rows"], block_rows, bucket_rows)
+    last = counts.select("_src", F.expr(f"(n + {block_rows - 1}) div {block_rows}").alias("blocks"))
+    gap = _climb(last.select("_src", F.col("blocks").alias("block")), named, levels).agg(F.min("slot").alias("gap")).first()["gap"]
+    blocks = last.select("_src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    at = _climb(blocks, named, levels).select("_src", F.col("block").alias("_block"), "release", "deadline", "slot")
+    return ranked.join(at, ["_src", "_block"]).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], F.col("_block").alias("block"), "release", "deadline", "slot", F.col("_in_block").alias("in_block"),
+        (F.col("slot") < F.lit(gap)).alias("within"),
+    )
+
+
+def _ranked(keyed: DataFrame, total: int, block_rows: int, bucket_rows: int) -> DataFrame:
+    """``keyed`` with the place of each row in its source, as _block and _in_block."""
+    buckets = max(1, -(-total // bucket_rows))
+    keyed = keyed.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
+    sized = keyed.groupBy("_src", "_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sized.select("_src", "_bucket", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_order", "row.doc_id", "_tie")) - 1
+    ranked = keyed.withColumn("_inside", inside).join(offsets.hint("shuffle_merge"), ["_src", "_bucket"])
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside"))
+    return ranked.withColumns({"_block": F.expr(f"_rank div {block_rows}"), "_in_block": F.expr(f"_rank % {block_rows}")})
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows and columns of ``docs`` plus block, release, deadline, slot, in_block, within.
 
@@ -84,7 +184,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_src"), _order_hash().alias("_order"), tie.alias("_tie"))
     counts = {r["_src"]: r["n"] for r in keyed.groupBy("_src").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
+        return _mix_many(docs, keyed, weights, block_rows, bucket_rows)
     total = sum(counts.values())
     period = period_for(len(counts))
     if weights is None:
@@ -100,15 +200,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     gap = plan.join(last, "_src").where(F.expr("k = blocks % slots")).agg(F.min(F.expr(f"(blocks div slots) * {period} + slot")).alias("gap"))
     gap = gap.select(F.coalesce("gap", F.lit(0)).alias("gap")).first()["gap"]
 
-    buckets = max(1, -(-total // bucket_rows))
-    keyed = keyed.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
-    sized = keyed.groupBy("_src", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sized.select("_src", "_bucket", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_order", "row.doc_id", "_tie")) - 1
-    ranked = keyed.withColumn("_inside", inside).join(offsets.hint("shuffle_merge"), ["_src", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside"))
-    ranked = ranked.withColumns({"_block": F.expr(f"_rank div {block_rows}"), "_in_block": F.expr(f"_rank % {block_rows}")})
+    ranked = _ranked(keyed, total, block_rows, bucket_rows)
     # one period of the schedule has at most 16 x MAX_SOURCES rows
     ranked = ranked.join(F.broadcast(quota.select("_src", "slots")), "_src").withColumn("_k", F.expr("_block % slots"))
     placed = ranked.join(F.broadcast(plan.select("_src", F.col("k").alias("_k"), F.col("slot").alias("_slot"))), ["_src", "_k"])
