@@ -249,28 +249,28 @@ _LEX = " SELECT query_id, id, round(score, 6) AS score FROM {t}"
 
 
 @query(_with(star.retrieval_sql()) + _LEX.replace("{t}", "lexical"))
-def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.lexical_channel(star.docs(spark, sf_dir), star.asked(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
+def lexical_channel(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    return retrieval.lexical_channel(star.docs(spark, sf_dir), star.asked(spark, sf_dir, words)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(_with(star.retrieval_sql()) + " SELECT query_id, id, score, rank FROM structural")
-def structural_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = retrieval.lexical_channel(star.docs(spark, sf_dir), star.asked(spark, sf_dir)).where("score >= 0.3").select("query_id", "id")
+def structural_channel(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    seeds = retrieval.lexical_channel(star.docs(spark, sf_dir), star.asked(spark, sf_dir, words)).where("score >= 0.3").select("query_id", "id")
     return retrieval.structural_channel(star.doc_links(spark, sf_dir), seeds).select("query_id", "id", "score", "rank")
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, **options) -> retrieval.Retrieved:
-    return retrieval.retrieve(star.docs(spark, sf_dir), star.doc_links(spark, sf_dir), star.asked(spark, sf_dir), **options)
+def _retrieved(spark: SparkSession, sf_dir: str, words: int | None, **options) -> retrieval.Retrieved:
+    return retrieval.retrieve(star.docs(spark, sf_dir), star.doc_links(spark, sf_dir), star.asked(spark, sf_dir, words), **options)
 
 
 @query(_with(star.retrieval_sql()) + " SELECT query_id, id, round(fused, 9) AS fused, position FROM served")
-def retrieve_served(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _retrieved(spark, sf_dir).served.select("query_id", "id", F.round("fused", 9).alias("fused"), "position")
+def retrieve_served(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    return _retrieved(spark, sf_dir, words).served.select("query_id", "id", F.round("fused", 9).alias("fused"), "position")
 
 
 @query(_with(star.retrieval_sql(k=1)) + " SELECT query_id, id, round(fused, 9) AS fused, n_channels, position FROM fused")
-def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _retrieved(spark, sf_dir, k=1, limit=10**9).served
+def rrf_fuse(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    r = _retrieved(spark, sf_dir, words, k=1, limit=10**9).served
     return r.select("query_id", "id", F.round("fused", 9).alias("fused"), F.size("contributions").cast("long").alias("n_channels"), "position")
 
 
@@ -279,8 +279,8 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT a.query_id, CASE WHEN s.n > 0 THEN 'served' ELSE 'abstained' END AS outcome, CASE WHEN s.n > 0 THEN NULL WHEN c.n IS NULL THEN 'no_candidates' ELSE 'below_floor' END AS reason, substr(sha256(query), 1, 16) AS query_hash, coalesce(s.n, 0) AS n_served"
     " FROM asked a LEFT JOIN (SELECT query_id, count(*) AS n FROM served GROUP BY 1) s USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM channels GROUP BY 1) c USING (query_id)"
 )
-def retrieve_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _retrieved(spark, sf_dir).decisions.select("query_id", "outcome", "reason", "query_hash", F.size("served").cast("long").alias("n_served"))
+def retrieve_decision(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    return _retrieved(spark, sf_dir, words).decisions.select("query_id", "outcome", "reason", "query_hash", F.size("served").cast("long").alias("n_served"))
 
 
 @query(
@@ -288,13 +288,13 @@ def retrieve_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT a.query_id, n.channel, coalesce(c.considered, 0) AS considered, round(c.top, 6) AS top_score, round(c.top - n.floor, 6) AS margin FROM asked a, (VALUES ('lexical', 0.3::DOUBLE), ('structural', 1.0::DOUBLE)) n(channel, floor)"
     " LEFT JOIN (SELECT query_id, channel, count(*) AS considered, max(score) AS top FROM channels GROUP BY 1, 2) c ON c.query_id = a.query_id AND c.channel = n.channel"
 )
-def channel_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _retrieved(spark, sf_dir).margins.select("query_id", "channel", "considered", F.round("top_score", 6).alias("top_score"), F.round("margin", 6).alias("margin"))
+def channel_margins(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    return _retrieved(spark, sf_dir, words).margins.select("query_id", "channel", "considered", F.round("top_score", 6).alias("top_score"), F.round("margin", 6).alias("margin"))
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first eight words of an item, found by their first two tokens, are relevant to it."""
-    asked = star.asked(spark, sf_dir)
+def _truth(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    """Documents that hold the text asked for word by word, found by its tokens, are relevant to it."""
+    asked = star.asked(spark, sf_dir, words)
     tokens = asked.select("query_id", "query", F.explode(F.array_distinct(tokenise(F.col("query")))).alias("token"))
     held = retrieval.doc_tokens(star.docs(spark, sf_dir)).join(tokens, "token").groupBy("query_id", "query", "id").agg(F.count("*").alias("n"))
     whole = held.where(F.col("n") == F.size(F.array_distinct(tokenise(F.col("query"))))).join(star.docs(spark, sf_dir), "id").where(F.contains("text", "query"))
@@ -314,8 +314,8 @@ _RATES = "CASE WHEN n_served > 0 THEN hits / n_served::DOUBLE ELSE 0 END AS p, C
     _with(star.retrieval_sql(), _JUDGED)
     + f" SELECT query_id, n_relevant > 0 AS answerable, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS reciprocal_rank, n_relevant = 0 AND n_served > 0 AS false_serve, n_relevant > 0 AND n_served = 0 AS false_abstain FROM (SELECT *, {_RATES} FROM judged)"
 )
-def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = evaluate.judge_queries(_truth(spark, sf_dir), _retrieved(spark, sf_dir).served)
+def retrieval_eval(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    judged = evaluate.judge_queries(_truth(spark, sf_dir, words), _retrieved(spark, sf_dir, words).served)
     return judged.select("query_id", "answerable", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")], "false_serve", "false_abstain")
 
 
@@ -324,23 +324,37 @@ def _score_sql(floor: float, k: int, tag: str) -> str:
     return f"SELECT * FROM ({_with(star.retrieval_sql(floor, k), _JUDGED)} SELECT {tag}, round(p, 6) AS precision, round(r, 6) AS recall, round(mrr, 6) AS mrr, fs AS false_serves, fa AS false_abstains, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END - 0.02 * fs - 0.01 * fa, 6) AS score FROM ({sums}))"
 
 
-def _scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    score = evaluate.retrieval_score(evaluate.judge_queries(_truth(spark, sf_dir), _retrieved(spark, sf_dir, **options).served))
+def _scored(spark: SparkSession, sf_dir: str, words: int | None, **options) -> DataFrame:
+    score = evaluate.retrieval_score(evaluate.judge_queries(_truth(spark, sf_dir, words), _retrieved(spark, sf_dir, words, **options).served))
     return score.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "score")], "false_serves", "false_abstains")
 
 
 @query(" UNION ALL ".join(_score_sql(f, 60, f"{f}::DOUBLE AS floor") for f in (0.2, 0.3, 0.4)))
-def sweep_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_scored(spark, sf_dir, lexical_floor=f).withColumn("floor", F.lit(f)) for f in (0.2, 0.3, 0.4)]
+def sweep_floor(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    parts = [_scored(spark, sf_dir, words, lexical_floor=f).withColumn("floor", F.lit(f)) for f in (0.2, 0.3, 0.4)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(" UNION ALL ".join(_score_sql(0.3, k, f"{k} AS k") for k in (1, 60, 300)))
-def rrf_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_scored(spark, sf_dir, k=k).withColumn("k", F.lit(k)) for k in (1, 60, 300)]
+def rrf_sweep(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    parts = [_scored(spark, sf_dir, words, k=k).withColumn("k", F.lit(k)) for k in (1, 60, 300)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _whole(f: Callable[..., DataFrame]) -> None:
+    """Registers a query over whole benchmark items beside that over their first words; it has no SQL twin."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, words=None)
+
+    run.__name__ = f"{f.__name__}_whole"
+    query()(run)
+
+
+for _f in (lexical_channel, structural_channel, retrieve_served, rrf_fuse, retrieve_decision, channel_margins, retrieval_eval, sweep_floor, rrf_sweep):
+    _whole(_f)
+
+
 @query("SELECT doc_id::VARCHAR AS id, len(ts)::INT AS n_tokens, len(list_distinct(ts))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS ts FROM documents)")
 def tokenise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = star.docs(spark, sf_dir).select("id", tokenise(F.col("text")).alias("t"))

@@ -158,9 +158,10 @@ def jaccard_sql(a: str, b: str) -> str:
     return f"CASE WHEN {union} = 0 THEN 1.0 ELSE {both} / {union}::DOUBLE END"
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: the first eight words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+def asked(spark: SparkSession, sf_dir: str, words: int | None = 8) -> DataFrame:
+    """Queries: the first ``words`` words of each benchmark item, as in the SQL twin, or the whole item for None."""
+    query = F.col("text") if words is None else F.array_join(F.slice(F.split("text", " "), 1, words), " ")
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), query.alias("query"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
