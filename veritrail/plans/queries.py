@@ -12,7 +12,7 @@ from ..functions.instants import parse_instant
 from ..functions.text import acronyms, infer_type, name_tokens, phonetic, tokenise
 from ..operators import causal, chain, evaluate, extract, identity, link, resolve, retrieval, temporal
 from ..streaming import tail
-from . import star
+from . import parts, star
 
 AT, AS_OF = "1998-06-01T00:00:00Z", "1998-03-01T00:00:00Z"
 _AT, _AS_OF = "TIMESTAMP '1998-06-01'", "TIMESTAMP '1998-03-01'"
@@ -448,6 +448,58 @@ def blocking_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("pairs", "kept", "true", *[F.round(c, 6).alias(c) for c in ("completeness", "quality", "reduction")])
 
 
+# resolution over every part: classes of equal records and their members, without SQL twins
+
+
+@query()
+def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.membership(spark, sf_dir)
+
+
+@query()
+def block_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.block(parts.classes(spark, sf_dir), True, True)
+
+
+@query()
+def block_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = parts.classes(spark, sf_dir)
+    blocks = resolve.keyed(r, True, True).agg(F.countDistinct("key").alias("blocks"))
+    return parts.counted(r).join(F.broadcast(blocks)).select("records", "all_pairs", "blocks", "compared")  # one row each
+
+
+@query()
+def trigram_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.scored(parts.classes(spark, sf_dir)).select("a", "b", F.round("score", 9).alias("score"))
+
+
+@query()
+def cap_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.capped(parts.classes(spark, sf_dir), parts.membership(spark, sf_dir), 3)
+
+
+@query()
+def clusters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.clustered(parts.classes(spark, sf_dir), parts.membership(spark, sf_dir), 0.75)[0]
+
+
+@query()
+def cluster_sizes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.clustered(parts.classes(spark, sf_dir), parts.membership(spark, sf_dir), 0.75)[1].select("cluster", "size", "merges")
+
+
+@query()
+def suggest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.suggested(parts.classes(spark, sf_dir), parts.membership(spark, sf_dir))
+
+
+@query()
+def blocking_eval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = parts.counted(parts.classes(spark, sf_dir))
+    rate = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return c.select(F.col("compared").alias("pairs"), "kept", "true", rate("kept", "true").alias("completeness"), rate("kept", "compared").alias("quality"), (1 - rate("compared", "all_pairs")).alias("reduction"))
+
+
 # identity: suppliers of one nation are one merge each
 
 _MERGES = "merges AS (SELECT 'm:' || s_nationkey AS id, s_nationkey::BIGINT AS seq, list('s:' || s_suppkey ORDER BY 's:' || s_suppkey) AS members, min('s:' || s_suppkey) AS canonical FROM supplier GROUP BY s_nationkey HAVING s_nationkey % 5 <> 0)"
