@@ -1,14 +1,16 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-Templates are word sequences with a mandatory key phrase.  The words of all
-templates form a fixed vocabulary, whose document frequencies over the whole
-corpus give its IDF.  Each file is looked up by the highest-IDF word of every
-template's key phrase: a place of that word fixes where the template would start,
-the template's postings are intersected with the file at those relative
-positions, and a place counts if its whole key phrase is there and the matched
-share of the template's IDF reaches ``COVERAGE``.  Since a key phrase cannot
-occur without its rarest word, no place is missed.  Base templates consist of
-their key phrase alone.
+Templates are word sequences - short phrases and whole notices - with a mandatory key
+phrase.  The words of all templates form a fixed vocabulary.  One pass cuts every
+text into words and keeps, of each file, its number of words, the vocabulary words that
+it holds, and the text where some key phrase has all its words in it.  From what is
+kept come the document frequencies, and with them the index: each template under the
+highest-IDF word of its key phrase.  A file is looked up by those of its words: a place
+of such a word fixes where the template would start, the template's postings are
+intersected with the file at those relative positions, and a place counts if its whole
+key phrase is there and the matched share of the template's IDF reaches ``COVERAGE``.
+Since a key phrase cannot occur without its rarest word, no place is missed.  Base
+templates consist of their key phrase alone.
 
 Defined cases
     null text is empty: no words, no labels (empty strings), score 0.0, first and
@@ -22,11 +24,13 @@ Defined cases
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Fixed values: (label, template, key phrase, base).
 TEMPLATES = (
     ("mit", "under the mit license", "under the mit license", True),
@@ -42,92 +46,167 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge to any person", False),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0", False),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain", False),
-)
+    (
+        "mit-notice",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+        is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. The software is provided "as is", without warranty of any
+        kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose
+        and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability,
+        whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or
+        other dealings in the software.""",
+        "permission is hereby granted free of charge to any person", False,
+    ),
+    (
+        "apache-2-notice",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
+        or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+        limitations under the License.""",
+        "may not use this file except in compliance", False,
+    ),
+    (
+        "bsd-notice",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+        the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        "redistribution and use in source and binary forms", False,
+    ),
+    (
+        "gpl-3-notice",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
+        is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        "gnu general public license as published by the free software foundation either version 3", False,
+    ),
+    (
+        "isc-notice",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. The software is provided "as is" and
+        the author disclaims all warranties with regard to this software including all implied warranties of merchantability and
+        fitness.""",
+        "copy modify and or distribute this software for any purpose", False,
+    ),
+    (
+        "mpl-2-notice",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        "mozilla public license v 2 0", False,
+    ),
+    (
+        "unlicense-notice",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means.""",
+        "free and unencumbered software released into the public domain", False,
+    ),
+)
 #: Matched share of a template's IDF.
 COVERAGE = 0.6
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-VOCABULARY = sorted({w for _, text, _, _ in TEMPLATES for w in text.split()})
+_UPPER = "".join(chr(c) for c in range(65, 91))
+_GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
+def parsed() -> list[tuple[str, list[str], int, int, bool]]:
+    """(label, words, where the key phrase starts, its number of words, base) of every template."""
+    out = []
+    for label, text, phrase, base in TEMPLATES:
+        words, key = re.findall("[a-z0-9]+", text.lower()), phrase.split()
+        out.append((label, words, next(i for i in range(len(words)) if words[i : i + len(key)] == key), len(key), base))
+    return out
+
+
+VOCABULARY = sorted({w for _, words, _, _, _ in parsed() for w in words})
 
 
 def words_of(text: Column) -> Column:
-    """Words after lower-casing A-Z.  ``lower`` also changes other letters, which cannot
-    make or unmake an ASCII word but for the Kelvin sign, which is replaced first."""
-    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("é")))
-    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
+    """Words after lower-casing A-Z: one translation makes every ASCII sign that is no letter or digit a blank."""
+    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _GAPS, _UPPER.lower() + " " * len(_GAPS))
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def _idf(docs: DataFrame) -> dict[str, float]:
-    """IDF of the fixed vocabulary over all documents (at most one row for each of its words)."""
-    present = F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, VOCABULARY)))
-    marked = F.concat(F.array(F.lit("")), present)  # the empty word counts the documents
-    found = {r["w"]: r["n"] for r in docs.select(F.explode(marked).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    total = found.get("", 0)
-    return {w: math.log((total + 1) / (found.get(w, 0) + 1)) + 1 for w in VOCABULARY}
+def _texts(words: list[str]) -> Column:
+    return F.split(F.lit(" ".join(words)), " ")
 
 
-def _is(word: str) -> Callable[[Column], Column]:
-    return lambda hit: hit["w"] == word
+def _tokenised(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_words, held (the vocabulary words of the file, as a line) and text (null where no key phrase can be)."""
+    cut = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    cut = cut.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", _texts(VOCABULARY)).alias("held"))
+    phrases = sorted({tuple(sorted(set(words[at : at + n]))) for _, words, at, n, _ in parsed()})
+    maybe = F.lit(False)
+    for phrase in phrases:
+        whole = F.array_contains("held", phrase[0])
+        for word in phrase[1:]:
+            whole = whole & F.array_contains("held", word)
+        maybe = maybe | whole
+    return durable(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.array_join("held", " ").alias("held"), F.when(maybe, F.col("text")).alias("text")))
 
 
-def _less(offset: int) -> Callable[[Column], Column]:
-    return lambda hit: hit["i"] - F.lit(offset)
+def _idf(files: DataFrame) -> dict[str, float]:
+    """IDF of the fixed vocabulary over all documents (at most one row for each of its words)."""
+    words = F.concat(F.array(F.lit("")), F.split("held", " "))  # the empty word counts the documents
+    found = {r["w"]: r["n"] for r in files.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    total = found.get("", 0)
+    return {w: math.log((total + 1) / (found.get(w, 0) + 1)) + 1 for w in VOCABULARY}
 
 
-def _place(label: str, words: list[str], idf: dict[str, float], key: range, base: bool) -> Callable[[Column], Column]:
-    """What a template finds at a start: its postings that agree there, if its key phrase does."""
-    total = sum(idf[w] for w in words)
-    postings = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(w).alias("w"), F.lit(idf[w] / total).alias("s")) for i, w in enumerate(words)])
+def _index(files: DataFrame) -> DataFrame:
+    """One row for each template, under the highest-IDF word of its key phrase."""
+    idf = _idf(files)
+    rows = []
+    for label, words, at, n, base in parsed():
+        anchor = max(range(at, at + n), key=lambda i: (idf[words[i]], words[i], -i))
+        total = sum(idf[w] for w in words)
+        rows.append((words[anchor], label, base, anchor, at, n, words, [idf[w] / total for w in words]))
+    return files.sparkSession.createDataFrame(rows, "anchor string, label string, base boolean, offset int, key_at int, n_key int, template array<string>, shares array<double>")
 
-    def at(s: Column) -> Column:
-        same = F.filter(postings, lambda p: F.coalesce(F.get(F.col("words"), s + p["o"]) == p["w"], F.lit(False)))
-        whole = F.size(F.filter(same, lambda p: (p["o"] >= key.start) & (p["o"] < key.stop))) == len(key)
-        share = F.when(whole, F.aggregate(same, F.lit(0.0), lambda acc, p: acc + p["s"]))
-        return F.struct(F.lit(label).alias("label"), F.lit(base).alias("base"), s.cast("long").alias("at"), share.alias("share"))
 
-    return at
+_PLACES = """filter(
+    transform(
+        transform(filter(transform(words, (w, i) -> named_struct('w', w, 'i', i)), h -> h.w = anchor), h -> h.i - offset),
+        s -> named_struct('at', s, 'same', filter(sequence(0, size(template) - 1), o -> coalesce(get(words, s + o) = template[o], false)))),
+    p -> size(filter(p.same, o -> o >= key_at and o < key_at + n_key)) = n_key)"""
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    idf = _idf(docs.select("text"))
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    anchored = []
-    for label, text, phrase, base in TEMPLATES:
-        words, key = text.split(), phrase.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        anchor = max(range(at, at + len(key)), key=lambda i: (idf[words[i]], words[i], -i))
-        anchored.append((label, words, at, len(key), anchor, base))
-    anchors = F.array(*[F.lit(w) for w in sorted({words[a] for _, words, _, _, a, _ in anchored})])
-    # most files hold no anchor and stop here
-    hits = F.when(F.arrays_overlap("words", anchors), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(anchors, x["w"])))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", anchors), F.col("words")).alias("words"), hits.alias("hits"))
-
-    found = []
-    for label, words, at, n_key, anchor, base in anchored:
-        starts = F.transform(F.filter("hits", _is(words[anchor])), _less(anchor))
-        found.append(F.filter(F.transform(starts, _place(label, words, idf, range(at, at + n_key), base)), lambda p: p["share"] >= COVERAGE))
-    none = F.expr("cast(array() as array<struct<label:string,base:boolean,at:bigint,share:double>>)")
-    rows = rows.select("doc_id", "n_words", F.when(F.col("hits").isNotNull(), F.concat(*found)).otherwise(none).alias("places"))
-    base = F.filter("places", lambda p: p["base"])
-
-    def joined(places: Column) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
-
-    return rows.select(
-        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
-        F.array_min(F.transform(base, lambda p: p["at"])).alias("first_word"), F.array_max(F.transform(base, lambda p: p["at"])).alias("last_word"),
-        joined(base).alias("base_labels"), joined(F.col("places")).alias("labels"),
-        F.coalesce(F.round(F.array_max(F.transform("places", lambda p: p["share"])), 6), F.lit(0.0)).alias("score"),
+    files = _tokenised(docs)
+    index = _index(files)
+    anchors = sorted({r["anchor"] for r in index.select("anchor").collect()})  # of the fixed templates
+    some = files.where(F.col("text").isNotNull()).select("row", "doc_id", "n_words", words_of(F.col("text")).alias("words"), F.explode(F.array_intersect(F.split("held", " "), _texts(anchors))).alias("anchor"))
+    # the index has a row for each fixed template
+    met = some.join(F.broadcast(index), "anchor").select("row", "doc_id", "n_words", "label", "base", "shares", F.expr(_PLACES).alias("places"))
+    shared = F.transform("places", lambda p: F.struct(p["at"].cast("long").alias("at"), F.aggregate(p["same"], F.lit(0.0), lambda acc, o: acc + F.get("shares", o)).alias("share")))
+    met = met.select("row", "doc_id", "n_words", "label", "base", F.filter(shared, lambda p: p["share"] >= COVERAGE).alias("places"))
+    base, starts = F.col("base") & (F.size("places") > 0), F.transform("places", lambda p: p["at"])
+
+    def joined(which: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
+
+    found = met.groupBy("row", "doc_id", "n_words").agg(
+        F.sum(F.when(base, F.size("places")).otherwise(0)).cast("long").alias("n_base"),
+        F.min(F.when(base, F.array_min(starts))).alias("first_word"), F.max(F.when(base, F.array_max(starts))).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.size("places") > 0).alias("labels"),
+        F.coalesce(F.round(F.max(F.array_max(F.transform("places", lambda p: p["share"]))), 6), F.lit(0.0)).alias("score"),
+    )
+    none = files.where(F.col("text").isNull()).select(
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
+        F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"),
     )
+    return none.unionByName(found.drop("row"))
 
 
 def oracle() -> str:
     """The relational form of the same scan: postings joined on words, grouped by start."""
     postings = []
-    for t, (label, text, phrase, base) in enumerate(TEMPLATES):
-        words, key = text.split(), phrase.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        postings += [f"({t},'{label}',{str(base).lower()},{i},'{w}',{str(at <= i < at + len(key)).lower()})" for i, w in enumerate(words)]
+    for t, (label, words, at, n, base) in enumerate(parsed()):
+        postings += [f"({t},'{label}',{str(base).lower()},{i},'{w}',{str(at <= i < at + n).lower()})" for i, w in enumerate(words)]
     low = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH postings(t, label, base, o, w, in_key) AS (VALUES {",".join(postings)}),
