@@ -13,19 +13,14 @@ from pyspark.sql import functions as F
 class Rule(NamedTuple):
     id: str
     predicate: str
-    verbs: str
-
-    @property
-    def pattern(self) -> re.Pattern:
-        words = r"[\w-]+(?:\s+[\w-]+){0,3}"
-        return re.compile(rf"(?P<subject>{words}?)(?:\s*,[^,.;:!?]*,)?\s+(?P<verb>{self.verbs})\s+(?P<object>{words})", re.I | re.A)
+    pattern: re.Pattern
 
 
 #: The default rules.
 DEFAULT_RULES = (
-    Rule("caused-direct", "CAUSED", r"caused|led\s+to|resulted\s+in"),
-    Rule("influenced-direct", "INFLUENCED", r"influenced|informed|shaped"),
-    Rule("precedent-for", "PRECEDENT_FOR", r"set\s+(?:a\s+)?precedent\s+for|is\s+precedent\s+for"),
+    Rule("caused-direct", "CAUSED", re.compile(r"(?P<subject>[\w-]+(?:\s+[\w-]+){0,3}?)(?:\s*,[^,.;:!?]*,)?\s+(?P<verb>caused|led\s+to|resulted\s+in)\s+(?P<object>[\w-]+(?:\s+[\w-]+){0,3})", re.I | re.A)),
+    Rule("influenced-direct", "INFLUENCED", re.compile(r"(?P<subject>[\w-]+(?:\s+[\w-]+){0,3}?)(?:\s*,[^,.;:!?]*,)?\s+(?P<verb>influenced|informed|shaped)\s+(?P<object>[\w-]+(?:\s+[\w-]+){0,3})", re.I | re.A)),
+    Rule("precedent-for", "PRECEDENT_FOR", re.compile(r"(?P<subject>[\w-]+(?:\s+[\w-]+){0,3}?)(?:\s*,[^,.;:!?]*,)?\s+(?P<verb>set\s+(?:a\s+)?precedent\s+for|is\s+precedent\s+for)\s+(?P<object>[\w-]+(?:\s+[\w-]+){0,3})", re.I | re.A)),
 )
 #: Words that deny, hedge, question or report a relation.
 POLARITY_CUES = (
@@ -93,7 +88,10 @@ def relations(records: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> tu
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: extract_text(t, rules))
 
-    flat = records.select(F.col("id").alias("source"), F.explode(found("text")).alias("r")).select("source", "r.*")
+    # a text without any of the verbs never reaches Python
+    verbs = "|".join(rule.pattern.pattern.partition("(?P<verb>")[2].partition(r")\s+(?P<object>")[0] for rule in rules)
+    spoken = records.where(F.col("text").rlike(rf"(?i)(?:{verbs})"))
+    flat = spoken.select(F.col("id").alias("source"), F.explode(found("text")).alias("r")).select("source", "r.*")
     return flat.where("cue is null").drop("cue"), flat.where("cue is not null").select("source", "rule", "predicate", "cue", "trigger")
 
 
