@@ -63,8 +63,10 @@ def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round(combine(F.col("name_score"), F.col("type_score"), F.col("props_score")), 12))
 
 
-def cap_by_similarity(pairs: DataFrame, most: int) -> DataFrame:
-    """Pairs that either end ranks among its ``most`` best."""
+def cap_by_similarity(pairs: DataFrame, most: int | None) -> DataFrame:
+    """Pairs that either end ranks among its ``most`` best; 0 and None keep every pair."""
+    if not most:
+        return pairs
     ends = pairs.select(F.col("a").alias("end"), "a", "b", "score").unionByName(pairs.select(F.col("b").alias("end"), "a", "b", "score"))
     rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("score"), F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"))))
     kept = ends.withColumn("_r", rank).where(F.col("_r") <= most).select("a", "b").distinct()
