@@ -39,9 +39,10 @@ def find_chains(edges: DataFrame, starts: DataFrame, direction: str = "upstream"
 
     ``edges``: id, source, target, type, weight; ``starts``: start.  A path is given
     where it cannot go on to a node that it has not visited, or reaches ``max_depth``.
-    Each level is one left join of the open paths with the edges: paths without a
-    match are complete, so the plan has ``max_depth`` equi joins and no driver loop
-    over data.
+    Each level is one left join with the edges, of all paths: those that cannot go on
+    are carried along, under keys of their own that spread them and match nothing.  So
+    the plan has ``max_depth`` equi joins, reads every level once and needs no driver
+    loop over data.
     """
     if not 1 <= max_depth <= MAX_CHAIN_DEPTH:
         raise EngineError("invalid_max_depth", str(max_depth))
@@ -52,19 +53,32 @@ def find_chains(edges: DataFrame, starts: DataFrame, direction: str = "upstream"
     steps = edges.select(F.col(near).alias("_at"), F.col(far).alias("_next"), hop.alias("_hop"))
     empty = F.array().cast("array<struct<source:string,target:string,type:string,weight:double,id:string>>")
     kind = dict(steps.dtypes)["_hop"]
-    open_paths = starts.select("start", F.col("start").alias("_end"), F.array("start").alias("nodes"), empty.cast(f"array<{kind}>").alias("hops"))
-    done = []
+    paths = starts.select("start", F.col("start").alias("_end"), F.array("start").alias("nodes"), empty.cast(f"array<{kind}>").alias("hops"), F.lit(True).alias("_open"))
     for depth in range(max_depth):
-        grown = open_paths.join(steps, (F.col("_end") == F.col("_at")) & ~F.array_contains("nodes", F.col("_next")), "left")
-        if depth:
-            done.append(grown.where("_at is null").select("start", "nodes", "hops"))
-        open_paths = grown.where("_at is not null").select("start", F.col("_next").alias("_end"), F.array_append("nodes", F.col("_next")).alias("nodes"), F.array_append("hops", F.col("_hop")).alias("hops"))
-    out = open_paths.select("start", "nodes", "hops")
-    for part in done:
-        out = out.unionByName(part)
+        key = F.when(F.col("_open"), F.col("_end").cast("string")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("start", "nodes").cast("string")))
+        keyed = paths.withColumn("_key", key)
+        grown = keyed.join(steps, (F.col("_key") == F.col("_at").cast("string")) & F.col("_open") & ~F.array_contains("nodes", F.col("_next")), "left")
+        went = F.col("_at").isNotNull()
+        if not depth:
+            grown = grown.where(went)
+        paths = grown.select(
+            "start", F.when(went, F.col("_next")).otherwise(F.col("_end")).alias("_end"), F.when(went, F.array_append("nodes", F.col("_next"))).otherwise(F.col("nodes")).alias("nodes"),
+            F.when(went, F.array_append("hops", F.col("_hop"))).otherwise(F.col("hops")).alias("hops"), went.alias("_open"),
+        )
+    out = paths.select("start", "nodes", "hops")
     return out.withColumn("depth", F.size("hops"))
 
 
+def decision_content(chains: DataFrame, records: DataFrame) -> DataFrame:
+    """``chains`` with ``contents``: the content of each node in walking order, null where it has none or is erased.
+
+    ``records``: id, content.  Nodes are joined one by one, so a record that many paths share is no join key of its own.
+    """
+    nodes = chains.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode("nodes").alias("_at", "_node"))
+    held = nodes.join(records.select(F.col("id").alias("_node"), F.col("content").alias("_content")), "_node", "left")
+    return held.groupBy("_row", *[F.col(c) for c in chains.columns]).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_content"))), lambda x: x["_content"]).alias("contents")).drop("_row")
+
+
 def distance_band(hops: Column) -> Column:
     out = F.when(hops <= BANDS[0][0], BANDS[0][1])
     for most, name in BANDS[1:]:
