@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions.text import tokenise
 from ..schema import LEXICAL_FLOOR, RESULT_LIMIT, RRF_K, STRUCTURAL_FLOOR
+from ..session import durable
 
 
 class Retrieved(NamedTuple):
@@ -19,34 +20,44 @@ class Retrieved(NamedTuple):
 
 
 def _ranked(scored: DataFrame) -> DataFrame:
-    """Rank by score, then id as a string; scores are rounded first, since sums have no fixed order."""
-    scored = scored.withColumns({"score": F.round("score", 12), "id": F.col("id").cast("string")})
+    """Rank by score, then id as a string."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
 
 
+def _named(scored: DataFrame) -> DataFrame:
+    """Scores are rounded before anything is compared, since sums have no fixed order."""
+    return scored.select("query_id", F.col("id").cast("string").alias("id"), F.round("score", 12).alias("score"))
+
+
 def doc_tokens(docs: DataFrame) -> DataFrame:
     """id, n_tokens (with repeats), token (distinct)."""
     counted = docs.select("id", tokenise(F.col("text")).alias("_t"))
     return counted.select("id", F.size("_t").alias("n_tokens"), F.explode(F.array_distinct("_t")).alias("token"))
 
 
-def lexical_channel(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score, rank.  ``docs``: id, text; ``queries``: query_id, query.
+def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score.  ``docs``: id, text; ``queries``: query_id, query.
 
-    Document tokens are cut down to query tokens before anything is shuffled, so the
-    stop-word-like tokens of the corpus never move unless a query asks for them.
+    Documents are cut into tokens once; what queries ask for of them is written down,
+    and frequencies and scores are both read from there.  Tokens that no query asks
+    for, the stop-word-like ones of the corpus among them, never move.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenise(F.col("query")))).alias("token"))
     total = docs.agg(F.count("*").cast("double").alias("n"))
-    known = doc_tokens(docs).join(asked.select("token").distinct(), "token", "left_semi")
+    known = durable(doc_tokens(docs).join(asked.select("token").distinct(), "token", "left_semi"))
     df = known.groupBy("token").agg(F.count("*").alias("df"))
     weight = df.join(F.broadcast(total)).select("token", (F.log(1 + F.col("n") / F.col("df")) / F.log(1 + F.col("n"))).alias("w"))  # total is one row
     scored = known.join(asked.join(weight, "token"), "token").groupBy("query_id", "id", "n_tokens").agg(F.sum("w").alias("sum"))
-    return _ranked(scored.select("query_id", "id", (F.col("sum") / F.sqrt("n_tokens")).alias("score")).where("score > 0"))
+    return _named(scored.select("query_id", "id", (F.col("sum") / F.sqrt("n_tokens")).alias("score"))).where("score > 0")
 
 
-def structural_channel(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """query_id, id, score, rank: edges of a non-seed to seeds, either way, parallel ones counted.
+def lexical_channel(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score, rank of every document that shares a token with a query."""
+    return _ranked(lexical_scores(docs, queries))
+
+
+def structural_scores(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """query_id, id, score: edges of a non-seed to seeds, either way, parallel ones counted.
 
     ``links``: source, target; ``seeds``: query_id, id.
     """
@@ -54,13 +65,23 @@ def structural_channel(links: DataFrame, seeds: DataFrame) -> DataFrame:
     around = around.unionByName(links.select(F.col("target").cast("string").alias("_from"), F.col("source").cast("string").alias("id"))).where("_from <> id")
     reached = around.join(seeds.select("query_id", F.col("id").alias("_from")), "_from")
     fresh = reached.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return _ranked(fresh.groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score")))
+    return _named(fresh.groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score")))
 
 
-def fuse(channels: DataFrame, k: int = RRF_K) -> DataFrame:
-    """query_id, id, fused, contributions, position.  ``channels``: query_id, channel, id, score, rank."""
+def structural_channel(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """query_id, id, score, rank."""
+    return _ranked(structural_scores(links, seeds))
+
+
+def fuse(channels: DataFrame, k: int = RRF_K, checked: bool = False) -> DataFrame:
+    """query_id, id, fused, contributions, position.  ``channels``: query_id, channel, id, score, rank.
+
+    Rows without an id, or that repeat one in a channel, are refused; ``checked`` tells that there are none.
+    """
     if not (isinstance(k, int) and k > 0):
         raise EngineError("invalid_k", str(k))
+    if not checked and (bad := fusion_problems(channels).first()) is not None:
+        raise EngineError(bad["reason"], f"{bad['query_id']} {bad['channel']} {bad['id']}")
     part = F.struct("channel", "rank", "score", (1.0 / (k + F.col("rank"))).alias("rrf"))
     fused = channels.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(part)).alias("contributions"))
     fused = fused.withColumn("fused", F.round(F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["rrf"]), 15))
@@ -83,16 +104,23 @@ def margins(queries: DataFrame, channels: DataFrame, floors: dict[str, float]) -
 
 
 def retrieve(docs: DataFrame, links: DataFrame, queries: DataFrame, limit: int = RESULT_LIMIT, lexical_floor: float = LEXICAL_FLOOR, structural_floor: float = STRUCTURAL_FLOOR, k: int = RRF_K) -> Retrieved:
-    """A batch of queries.  Floors apply to each channel before ranks are fused; nothing is written."""
-    lexical = lexical_channel(docs, queries)
-    seeds = lexical.where(F.col("score") >= lexical_floor).select("query_id", "id")
-    structural = structural_channel(links, seeds)
-    channels = lexical.select(F.lit("lexical").alias("channel"), "*").unionByName(structural.select(F.lit("structural").alias("channel"), "*"))
+    """A batch of queries.  Floors apply to each channel before ranks are fused; nothing is written.
+
+    A floor cuts a tail off, which changes no rank: candidates below it are counted and
+    never sorted.
+    """
+    lexical = durable(lexical_scores(docs, queries))
+    seeds = lexical.where(F.col("score") >= lexical_floor)
+    structural = durable(structural_scores(links, seeds))
     floors = {"lexical": lexical_floor, "structural": structural_floor}
-    passed = channels.where(F.col("score") >= F.when(F.col("channel") == "lexical", lexical_floor).otherwise(structural_floor))
-    fused = fuse(passed, k)
+    scored = {"lexical": lexical, "structural": structural}
+    channels, passed = ([f(name, frame) for name, frame in scored.items()] for f in (
+        lambda name, frame: frame.select(F.lit(name).alias("channel"), "*"),
+        lambda name, frame: _ranked(frame.where(F.col("score") >= floors[name])).select(F.lit(name).alias("channel"), "*"),
+    ))
+    fused = fuse(passed[0].unionByName(passed[1]), k, checked=True)
     served = fused.where(F.col("position") <= limit)
-    bounds = margins(queries, channels, floors)
+    bounds = margins(queries, channels[0].unionByName(channels[1]), floors)
     hits = served.groupBy("query_id").agg(F.count("*").alias("n_served"), F.array_sort(F.collect_list(F.struct("position", "id"))).alias("_s"))
     considered = bounds.groupBy("query_id").agg(F.sum("considered").alias("considered"))
     decided = queries.join(hits, "query_id", "left").join(considered, "query_id", "left")
