@@ -1,14 +1,19 @@
 """The record log: JSON lines in, versioned Parquet inside, one writer at a time.
 
-A store is a folder: ``v<n>/`` holds the rows of version n and ``CURRENT`` names the
-version that counts.  Appends add files to it; a purge writes the next version,
-switches ``CURRENT`` and removes the old one, so erased content leaves the disk.
-All access goes through Hadoop's file system, so any shared store will do.
+A store is a folder: ``v<n>/`` holds the rows of version n, and the empty file
+``v<n>.ready`` is made once they are complete.  The highest ready version counts, so
+there is no moment without one.  Appends add files to it; a purge writes the next
+version, makes it ready and removes what was before, so erased content leaves the
+disk; what a crash left behind is removed by the next writer.  All access goes through
+Hadoop's file system, so any shared store will do.
 """
 
 from __future__ import annotations
 
+import re
+import threading
 import time
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +23,8 @@ from ..errors import EngineError
 from ..functions.canonical import canonicalise
 from ..schema import KINDS, RECORD
 
-LOCK_WAIT_S, LOCK_RETRY_S, LOCK_STALE_S = 5.0, 0.015, 30.0
+LOCK_WAIT_S, LOCK_RETRY_S, LOCK_STALE_S, LOCK_BEAT_S = 5.0, 0.015, 30.0, 5.0
+_READY, _VERSION = re.compile(r"v(\d+)\.ready"), re.compile(r"v(\d+)(?:\.ready)?")
 _LINE = "kind string, id string, seq long, prev string, digest string, contentDigest string, salt string, content string, meta string"
 
 
@@ -63,28 +69,57 @@ class LogStore:
         finally:
             stream.close()
 
+    def _names(self) -> list[str]:
+        return [status.getPath().getName() for status in self._fs.listStatus(self._at())] if self._fs.exists(self._at()) else []
+
     def version(self) -> int:
-        if not self._fs.exists(self._at("CURRENT")):
-            return 0
-        stream = self._fs.open(self._at("CURRENT"))
-        try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return max((int(m[1]) for name in self._names() if (m := _READY.fullmatch(name))), default=0)
+
+    def _sweep(self, current: int) -> None:
+        """Removes every version but one, their markers first."""
+        for name in sorted(self._names(), key=lambda name: not name.endswith(".ready")):
+            m = _VERSION.fullmatch(name)
+            if m and int(m[1]) != current:
+                self._fs.delete(self._at(name), True)
 
     def read(self) -> DataFrame:
         """A missing store is an empty one."""
         n = self.version()
         return self.spark.read.schema(RECORD).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], RECORD)
 
+    def _holder(self) -> str | None:
+        try:
+            stream = self._fs.open(self._at("LOCK"))
+        except Exception:  # it went meanwhile
+            return None
+        try:
+            return str(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _touch(self, ended: threading.Event) -> None:
+        """Tells others that the holder is alive."""
+        while not ended.wait(LOCK_BEAT_S):
+            self._fs.setTimes(self._at("LOCK"), int(time.time() * 1000), -1)
+
+    def _break(self) -> None:
+        """Moves a lock aside that has not been touched for too long, unless it is another's by then."""
+        stale, aside = self._holder(), f"LOCK.{uuid.uuid4().hex}"
+        if stale is None or not self._fs.rename(self._at("LOCK"), self._at(aside)):
+            return
+        self._fs.delete(self._at(aside), False)
+
     @contextmanager
     def lock(self, wait: float = LOCK_WAIT_S):
-        """One writer: an exclusively created file; one left behind for too long is broken."""
-        began = time.monotonic()
+        """One writer: an exclusively created file with the holder's token, touched while it is held.
+
+        One that nobody has touched for ``LOCK_STALE_S`` is moved aside; a holder removes its own only.
+        """
+        began, token = time.monotonic(), uuid.uuid4().hex
         self._fs.mkdirs(self._at())
         while True:
             try:
-                self._put("LOCK", str(time.time()), overwrite=False)
+                self._put("LOCK", token, overwrite=False)
                 break
             except Exception as held:  # py4j wraps the file system's own exceptions
                 if "exist" not in str(held).lower():
@@ -94,31 +129,35 @@ class LogStore:
                 except Exception:  # it went meanwhile
                     continue
                 if age > LOCK_STALE_S:
-                    self._fs.delete(self._at("LOCK"), False)
+                    self._break()
                 elif time.monotonic() - began > wait:
                     raise EngineError("lock_timeout") from None
                 time.sleep(LOCK_RETRY_S)
+        ended = threading.Event()
+        beat = threading.Thread(target=self._touch, args=(ended,), daemon=True)
+        beat.start()
         try:
             yield
         finally:
-            self._fs.delete(self._at("LOCK"), False)
+            ended.set()
+            beat.join()
+            if self._holder() == token:
+                self._fs.delete(self._at("LOCK"), False)
 
     def append(self, rows: DataFrame) -> None:
         """Under the lock: add rows to the current version."""
-        n = self.version() or 1
-        rows.select(*RECORD.fieldNames()).write.mode("append").parquet(f"{self.path}/v{n}")
-        if not self.version():
-            self._put("CURRENT", str(n), overwrite=True)
+        n = self.version()
+        self._sweep(n)
+        rows.select(*RECORD.fieldNames()).write.mode("append").parquet(f"{self.path}/v{n or 1}")
+        if not n:
+            self._put("v1.ready", "", overwrite=True)
 
     def rewrite(self, rows: DataFrame) -> None:
         """Under the lock: replace everything, then remove what was."""
-        old = self.version()
-        rows.select(*RECORD.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v{old + 1}")
-        self._put("CURRENT.next", str(old + 1), overwrite=True)
-        self._fs.delete(self._at("CURRENT"), False)
-        self._fs.rename(self._at("CURRENT.next"), self._at("CURRENT"))
-        if old:
-            self._fs.delete(self._at(f"v{old}"), True)
+        n = self.version() + 1
+        rows.select(*RECORD.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        self._put(f"v{n}.ready", "", overwrite=True)
+        self._sweep(n)
 
 
 def citations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
