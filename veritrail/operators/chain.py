@@ -1,4 +1,9 @@
-"""Hash-chained provenance: append, verify, purge."""
+"""Hash-chained provenance: append, verify, purge.
+
+What a chain cannot show: that its newest rows were cut off, or that somebody who can
+write the store made the whole of it anew.  Every row then still agrees with the one
+before it.  Only a head digest that is kept elsewhere tells.
+"""
 
 from __future__ import annotations
 
@@ -84,6 +89,10 @@ def chain_report(log: DataFrame, order: str = "pos", partition: str = "workspace
     return out.withColumn("valid", F.col("problems") == 0)
 
 
-def purge_content(log: DataFrame, ids: list[str]) -> DataFrame:
+def purge_content(log: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """``log`` without salt and content of some records: named one by one, or in a table (id)."""
+    if isinstance(ids, DataFrame):
+        marked = log.join(ids.select("id", F.lit(True).alias("_gone")).distinct(), "id", "left")
+        return marked.withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in ("salt", "content")}).select(*log.columns)
     gone = F.col("id").isin(*ids) if ids else F.lit(False)
     return log.withColumns({c: F.when(~gone, F.col(c)) for c in ("salt", "content")})

@@ -8,14 +8,14 @@ import secrets
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EngineError
 from .functions.canonical import canonical_json
 from .functions.instants import instant, parse_instant
-from .operators import causal, chain, extract, identity, link, resolve, retrieval, temporal
-from .schema import EDGE_TYPES, NOT_LIVE, PURGE_SCOPE, SUGGEST_MIN_SCORE
+from .operators import causal, chain, extract, identity, link, resolve, retrieval, temporal, views
+from .schema import EDGE_TYPES, KINDS, PURGE_SCOPE, SUGGEST_MIN_SCORE
 from .sources.log import LogStore
 
 
@@ -41,7 +41,8 @@ class Store:
         return self.files.read()
 
     def read_log(self, limit: int = 50) -> DataFrame:
-        return self.log.orderBy(F.desc("seq")).limit(limit)
+        """The newest rows of this workspace, newest first."""
+        return self.log.where(F.col("workspace") == self.workspace).orderBy(F.desc("seq")).limit(limit)
 
     def verify(self) -> DataFrame:
         return chain.chain_report(self.log, order="seq")
@@ -50,7 +51,21 @@ class Store:
         return [F.get_json_object("meta", f"$.{n}").alias(_snake(n)) for n in names]
 
     def live(self) -> DataFrame:
-        return self.log.where(F.col("content").isNotNull() & ~F.col("kind").isin(*NOT_LIVE))
+        return views.live(self.log)
+
+    def get(self, id_: str, kind: str | None = None) -> Row | None:
+        """A live record (of a kind: node, decision or edge), or None."""
+        rows = self.live().where(F.col("id") == id_)
+        return (rows if kind is None else rows.where(F.col("kind") == kind)).orderBy("seq").first()
+
+    def content_of(self, id_: str, at: str | None = None) -> Any | None:
+        """The content that answers for a record: its canonical record's, through an active merge; None where erased or unknown."""
+        row = self.contents([id_], at).first()
+        return None if row is None or row["content"] is None else json.loads(row["content"])
+
+    def contents(self, ids: Iterable[str], at: str | None = None) -> DataFrame:
+        """requested, id, via, content."""
+        return views.content_of(self.log, self.resolve_ids(ids, at))
 
     def retractions(self) -> DataFrame:
         rows = self.log.where("kind = 'retraction'").select(*self._meta("subject", "validFrom", "recordedAt"))
@@ -68,18 +83,15 @@ class Store:
 
     def named(self) -> DataFrame:
         """id, name, type of live nodes and decisions: the first of four fields that is not blank."""
-        fields = [F.get_json_object("content", f"$.{n}") for n in ("name", "title", "text", "scenario")]
-        name = F.coalesce(*[F.when(F.trim(f) != "", f) for f in fields])
-        return self.nodes().select("id", name.alias("name"), F.col("kind").alias("type")).where("name is not null")
+        return self.nodes().select("id", views.name_of(F.col("content")).alias("name"), F.col("kind").alias("type")).where("name is not null")
 
     def texts(self) -> DataFrame:
         """id, text, purged of every record that may be cited."""
-        return self.log.where(F.col("kind").isin("node", "decision", "edge")).select("id", F.get_json_object("content", "$.text").alias("text"), chain.is_purged().alias("purged"))
+        return self.log.where(F.col("kind").isin("node", "decision", "edge")).select("id", views.text_of(F.col("content")).alias("text"), chain.is_purged().alias("purged"))
 
     def searchable(self, content_only: bool = False) -> DataFrame:
         """id, text: content as JSON (its keys are words too), or with ``content_only`` its text field."""
-        rows = self.live().where("kind <> 'retrieval'")
-        return rows.select("id", (F.get_json_object("content", "$.text") if content_only else F.col("content")).alias("text"))
+        return views.searchable(self.log, content_only)
 
     def state_at(self, valid_at: str, as_of: str | None = None, compat: bool = False) -> temporal.Snapshot:
         rows = self.live().select("id", "kind", *self._meta("recordedAt", "validFrom", "validUntil", "source", "target"))
@@ -137,10 +149,15 @@ class Store:
         return extract.resolve_spans(spans.where("s is not null").select("id", "s.*"), self.texts())
 
     def graph_view(self) -> tuple[DataFrame, DataFrame]:
-        """(nodes: id, kind, label, purged; live edges), ends as narrowed by retractions."""
-        label = F.coalesce(*[F.get_json_object("content", f"$.{n}") for n in ("name", "title", "text", "scenario")], "id")
-        nodes = self.log.where("kind in ('node', 'decision')").select("id", "kind", label.alias("label"), chain.is_purged().alias("purged"))
-        return nodes, self.edges()
+        """(nodes: id, kind, label, purged, valid_from, valid_until, recorded_at, n_edges; live edges: id, source, target,
+        type, weight, has_evidence); ``verify`` has the state of the chain."""
+        nodes = self.log.where("kind in ('node', 'decision')").select("id", "kind", "content", chain.is_purged().alias("purged"), *self._meta("validFrom", "validUntil", "recordedAt"))
+        spans = self.live().where("kind = 'edge'").select("id", F.get_json_object("meta", "$.triggerSpan").isNotNull().alias("has_evidence"))
+        return views.graph(nodes, self.edges().drop("seq").join(spans, "id"))
+
+    def why_contents(self, ids: Iterable[str], direction: str = "upstream", max_depth: int = 5) -> DataFrame:
+        """Chains with the content of each of their nodes."""
+        return causal.decision_content(self.why(ids, direction, max_depth), self.live())
 
     # writes
 
@@ -153,6 +170,8 @@ class Store:
         for i, r in enumerate(rows):
             if r["content"] is None:
                 raise EngineError("null_content")
+            if r.get("meta", {}).get("workspace", self.workspace) != self.workspace:
+                raise EngineError("workspace_mismatch")
             meta = {"workspace": self.workspace, "recordedAt": self.clock(), **{k: v for k, v in r.get("meta", {}).items() if v is not None}}
             made.append((self.workspace, i, r["kind"], r["id"], canonical_json(r["content"]), canonical_json(meta), self.salt(), head["seq"] if head else None, head["digest"] if head else None))
         fresh = chain.fold(self.spark.createDataFrame(made, shape)) if made else None
@@ -187,6 +206,43 @@ class Store:
                     raise EngineError("null_content")
             self._write(records)
 
+    def append_frame(self, records: DataFrame, order: str = "pos") -> None:
+        """``records``: kind, id, content and meta (JSON), ``order``, and optionally workspace.  Checked as ``append`` checks,
+        by joins; no row passes through the driver, and what is refused is refused whole."""
+        rows = records.withColumn("workspace", F.coalesce("workspace", F.lit(self.workspace)) if "workspace" in records.columns else F.lit(self.workspace))
+        meta = F.coalesce("meta", F.lit("{}"))
+        field = lambda name: F.get_json_object(meta, f"$.{name}")
+        edge = F.col("kind") == "edge"
+        weight = F.coalesce(field("weight").cast("double"), F.lit(1.0))
+        problem = (
+            F.when(F.coalesce(field("workspace"), F.col("workspace")) != self.workspace, "workspace_mismatch")
+            .when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "unknown_kind")
+            .when(F.col("content").isNull() | (F.col("content") == "null"), "null_content")
+            .when(edge & ~F.coalesce(field("edgeType"), F.lit("INFLUENCED")).isin(*EDGE_TYPES), "unknown_edge_type")
+            .when(edge & ~weight.between(0, 1), "weight_out_of_range")
+        )
+        with self.files.lock():
+            log = self.log
+            bad = rows.select(problem.alias("code")).where("code is not null").first()
+            if bad is not None:
+                raise EngineError(bad["code"])
+            ids = rows.select("id")
+            if not ids.groupBy("id").count().where("count > 1").isEmpty() or not ids.join(log.select("id"), "id", "left_semi").isEmpty():
+                raise EngineError("duplicate_id")
+            ends = rows.where(edge).select(F.explode(F.array(field("source"), field("target"))).alias("id"))
+            if not ends.where("id is null").isEmpty() or not ends.join(log.select("id").unionByName(ids), "id", "left_anti").isEmpty():
+                raise EngineError("endpoint_not_found")
+            head = log.where(F.col("workspace") == self.workspace).agg(F.max_by(F.struct("seq", "digest"), "seq").alias("h")).first()["h"]
+            own = {"workspace": self.workspace, "recordedAt": self.clock()}
+            # one salt for the batch, made different for each record by its id
+            salt = F.substring(F.sha2(F.concat(F.lit(self.salt()), "id").cast("binary"), 256), 1, 32)
+            stated = F.map_concat(F.from_json(F.lit(json.dumps(own)), "map<string,variant>"), F.map_filter(F.from_json(meta, "map<string,variant>"), lambda k, v: ~k.isin(*own) & ~F.is_variant_null(v)))
+            fresh = rows.select(
+                "workspace", F.col(order).alias("pos"), "kind", "id", "content", F.to_json(stated).alias("meta"), salt.alias("salt"),
+                F.lit(head["seq"] if head else None).cast("long").alias("head_seq"), F.lit(head["digest"] if head else None).cast("string").alias("head_digest"),
+            )
+            self.files.append(chain.fold(fresh))
+
     def link_records(self, source: str, target: str, edge_type: str, weight: float = 1.0) -> None:
         self.append([{"kind": "edge", "id": f"{source}->{target}:{edge_type}", "content": {}, "meta": {"source": source, "target": target, "edgeType": edge_type, "weight": weight}}])
 
