@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonicalise
 from ..functions.instants import parse_instant
 from ..functions.text import acronyms, infer_type, name_tokens, phonetic, tokenise
-from ..operators import causal, chain, evaluate, extract, identity, link, resolve, retrieval, temporal
+from ..operators import causal, chain, evaluate, extract, identity, link, resolve, retrieval, temporal, views
 from ..streaming import tail
 from . import parts, star
 
@@ -169,9 +170,51 @@ def chain_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(star.EVENT_LOG) + " SELECT id, CASE WHEN event_type = 'error' THEN NULL ELSE salt END AS salt, CASE WHEN event_type = 'error' THEN NULL ELSE content END AS content, event_type = 'error' AS purged, digest FROM log")
 def purge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = F.col("event_type") == "error"
-    log = star.event_log(spark, sf_dir).withColumns({c: F.when(~gone, F.col(c)) for c in ("salt", "content")})
-    return log.select("id", "salt", "content", chain.is_purged().alias("purged"), "digest")
+    log = star.event_log(spark, sf_dir)
+    return views.purged(chain.purge_content(log, log.where("event_type = 'error'").select("id")))
+
+
+@query(_with(star.EVENT_LOG) + " SELECT workspace, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS purged, count(*) FILTER (WHERE event_type = 'signup') AS problems, count(*) FILTER (WHERE event_type = 'signup') = 0 AS valid FROM log GROUP BY workspace")
+def chain_half_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Erased rows verify; rows that lost their salt but kept their content do not."""
+    log = star.event_log(spark, sf_dir)
+    log = chain.purge_content(log, log.where("event_type = 'error'").select("id"))
+    return chain.chain_report(log.withColumn("salt", F.when(F.col("event_type") != "signup", F.col("salt"))), own=_own())
+
+
+_FOLD = """pieces AS (
+  SELECT user_id::VARCHAR AS workspace, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, 'e:' || event_id AS id,
+    sha256('2:s' || (event_id % 10) || '{"type":"' || event_type || '"}') AS content_digest FROM events WHERE user_id % 10 = 0),
+folded AS (
+  SELECT workspace, seq, id, sha256('{"contentDigest":"' || content_digest || '","id":"' || id || '","kind":"node","meta":{},"prev":null,"seq":1}') AS digest FROM pieces WHERE seq = 1
+  UNION ALL SELECT p.workspace, p.seq, p.id, sha256('{"contentDigest":"' || p.content_digest || '","id":"' || p.id || '","kind":"node","meta":{},"prev":"' || f.digest || '","seq":' || p.seq || '}')
+  FROM folded f JOIN pieces p ON p.workspace = f.workspace AND p.seq = f.seq + 1)"""
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of every tenth user as new rows, chained by the engine's own digests."""
+    rows = star.event_log(spark, sf_dir).where("cast(workspace as bigint) % 10 = 0")
+    return chain.fold(rows.select("workspace", "pos", "kind", "id", "content", F.lit("{}").alias("meta"), "salt"))
+
+
+@query("WITH RECURSIVE " + _FOLD + " SELECT workspace, seq, id, digest FROM folded")
+def chain_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folded(spark, sf_dir).select("workspace", "seq", "id", "digest")
+
+
+@query("WITH RECURSIVE " + _FOLD + " SELECT workspace, count(*) AS total, 0 AS purged, 0 AS problems, true AS valid FROM folded GROUP BY workspace")
+def chain_record_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of folded rows, computed anew from their stored fields."""
+    return chain.chain_report(_folded(spark, sf_dir), order="seq")
+
+
+@query("SELECT event_id AS key, '{\"a\":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE (event_id % 7)::VARCHAR END || ',\"b\":[true,\"' || event_type || '\"],\"\u00e9\":' || CASE WHEN event_id % 2 = 0 THEN '1e+21' ELSE '0.000001' END || '}' AS canonical FROM events")
+def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON with blanks, keys out of order, escapes and numbers in other notations, in canonical form."""
+    a = F.when(F.col("event_id") % 3 == 0, F.lit("null")).otherwise(F.concat((F.col("event_id") % 7).cast("string"), F.lit(".0")))
+    number = F.when(F.col("event_id") % 2 == 0, F.lit("1000000000000000000000")).otherwise(F.lit("1E-6"))
+    raw = F.concat(F.lit('{ "\\u00e9": '), number, F.lit(', "b" : [ true, "'), "event_type", F.lit('" ],\n"a":'), a, F.lit(" }"))
+    return star.table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), canonicalise(raw).alias("canonical"))
 
 
 # causal
@@ -415,6 +458,19 @@ def cap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.cap_by_similarity(resolve.score_pairs(resolve.block(r, True, True), r), 3).select("a", "b")
 
 
+@query(_with(star.NAMES, _KEYED, _PAIRS) + " SELECT a, b FROM pairs")
+def cap_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cap of 0 keeps every pair."""
+    r = star.names(spark, sf_dir)
+    return resolve.cap_by_similarity(resolve.score_pairs(resolve.block(r, True, True), r), 0).select("a", "b")
+
+
+_WEAK = """strong AS (SELECT *, row_number() OVER (ORDER BY score DESC, a || ' ' || b) AS o FROM scored WHERE score >= {least}),
+sides AS (SELECT o, a AS x, b AS y FROM strong UNION ALL SELECT o, b, a FROM strong),
+before AS (SELECT o AS e, a AS at FROM strong UNION SELECT r.e, s.y FROM before r JOIN sides s ON s.x = r.at AND s.o < r.e),
+forest AS (SELECT s.* FROM strong s WHERE NOT EXISTS (SELECT 1 FROM before r WHERE r.e = s.o AND r.at = s.b)),
+weak AS (SELECT cluster, a AS weak_a, b AS weak_b, round(score, 9) AS weak_score FROM (SELECT r.cluster, f.*, row_number() OVER (PARTITION BY r.cluster ORDER BY f.score, f.a || ' ' || f.b) AS n FROM forest f JOIN roots r ON r.id = f.a) WHERE n = 1)"""
+_CLUSTERED = " SELECT cluster, count(*) AS size, count(*) - 1 AS merges, any_value(weak_a) AS weak_a, any_value(weak_b) AS weak_b, any_value(weak_score) AS weak_score FROM roots LEFT JOIN weak USING (cluster) GROUP BY cluster"
 _REACH = """links AS (SELECT a AS x, b AS y FROM scored WHERE score >= 0.75 UNION ALL SELECT b, a FROM scored WHERE score >= 0.75),
 reach AS (SELECT id, id AS root FROM records UNION SELECT r.id, l.y FROM reach r JOIN links l ON l.x = r.root),
 roots AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id)"""
@@ -426,26 +482,28 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.cluster(r, resolve.score_pairs(resolve.block(r, True, True), r), 0.75)[0]
 
 
-@query("WITH RECURSIVE " + ",\n".join([star.NAMES, _KEYED, _PAIRS, _SCORED, _REACH]) + " SELECT cluster, count(*) AS size, count(*) - 1 AS merges FROM roots GROUP BY cluster")
+@query("WITH RECURSIVE " + ",\n".join([star.NAMES, _KEYED, _PAIRS, _SCORED, _REACH, _WEAK.replace("{least}", "0.75")]) + _CLUSTERED)
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = star.names(spark, sf_dir)
-    return resolve.cluster(r, resolve.score_pairs(resolve.block(r, True, True), r), 0.75)[1].select("cluster", "size", "merges")
+    return resolve.cluster(r, resolve.score_pairs(resolve.block(r, True, True), r), 0.75)[1].withColumn("weak_score", F.round("weak_score", 9))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + ",\n".join([star.NAMES, _KEYED, _PAIRS, _SCORED, _REACH.replace("0.75", "0.7"), _WEAK.replace("{least}", "0.7")]) + f" SELECT * FROM ({_CLUSTERED}) WHERE size > 1"
+)
 def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.suggest(star.names(spark, sf_dir))[1]
+    return resolve.suggest(star.names(spark, sf_dir))[1].withColumn("weak_score", F.round("weak_score", 9))
 
 
 @query(
     _with(star.NAMES, _KEYED, _PAIRS, "truth AS (SELECT x.id AS a, y.id AS b FROM records x JOIN records y ON x.name = y.name AND x.id < y.id)", "n AS (SELECT (SELECT count(*) FROM pairs) AS p, (SELECT count(*) FROM pairs JOIN truth USING (a, b)) AS k, (SELECT count(*) FROM truth) AS t, (SELECT count(*) FROM records) AS r)")
-    + " SELECT p AS pairs, k AS kept, t AS true, round(k / t::DOUBLE, 6) AS completeness, round(k / p::DOUBLE, 6) AS quality, round(1 - p / (r * (r - 1) / 2)::DOUBLE, 6) AS reduction FROM n"
+    + " SELECT p AS pairs, k AS kept, t AS true, round(k / t::DOUBLE, 6) AS completeness, round(k / p::DOUBLE, 6) AS quality, round(1 - p / (r * (r - 1) / 2)::DOUBLE, 6) AS reduction, round(2 * k / (t + p)::DOUBLE, 6) AS f_measure FROM n"
 )
 def blocking_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = star.names(spark, sf_dir)
     x, y = r.select(F.col("id").alias("a"), "name"), r.select(F.col("id").alias("b"), "name")
     q = evaluate.blocking_quality(resolve.block(r, True, True), x.join(y, "name").where("a < b").select("a", "b"), r.count())
-    return q.select("pairs", "kept", "true", *[F.round(c, 6).alias(c) for c in ("completeness", "quality", "reduction")])
+    return q.select("pairs", "kept", "true", *[F.round(c, 6).alias(c) for c in ("completeness", "quality", "reduction", "f_measure")])
 
 
 # resolution over every part: classes of equal records and their members, without SQL twins
@@ -497,7 +555,7 @@ def suggest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocking_eval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = parts.counted(parts.classes(spark, sf_dir))
     rate = lambda a, b: F.round(F.try_divide(a, b), 6)
-    return c.select(F.col("compared").alias("pairs"), "kept", "true", rate("kept", "true").alias("completeness"), rate("kept", "compared").alias("quality"), (1 - rate("compared", "all_pairs")).alias("reduction"))
+    return c.select(F.col("compared").alias("pairs"), "kept", "true", rate("kept", "true").alias("completeness"), rate("kept", "compared").alias("quality"), (1 - rate("compared", "all_pairs")).alias("reduction"), rate(2 * F.col("kept"), F.col("true") + F.col("compared")).alias("f_measure"))
 
 
 # identity: suppliers of one nation are one merge each
@@ -584,13 +642,40 @@ def extract_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppressed.select("source", "cue", "predicate")
 
 
-@query()
-def extract_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _sentences(spark, sf_dir)
-    found, _ = extract.relations(texts)
+_GOLD = """CASE WHEN k = 0 THEN 'CAUSED' WHEN k = 1 THEN CASE WHEN n % 5 = 0 THEN 'INFLUENCED' ELSE 'CAUSED' END WHEN k = 3 THEN 'INFLUENCED' WHEN k = 4 AND n % 5 > 0 THEN 'PRECEDENT_FOR' WHEN k = 2 AND n % 5 = 0 THEN 'CAUSED' END"""
+_GOLD_ENDS = """{brand} || CASE k WHEN 0 THEN ' fault' WHEN 1 THEN ' review' WHEN 3 THEN ' spike' WHEN 4 THEN ' decision' ELSE '' END AS subject,
+  CASE k WHEN 0 THEN 'the outage' WHEN 1 THEN 'the rewrite' WHEN 2 THEN 'the spike' WHEN 3 THEN 'the policy' ELSE 'the contract' END AS object"""
+_EVAL = f"""golden AS (SELECT * FROM (SELECT source AS id, k, {_GOLD} AS predicate, {_GOLD_ENDS.replace("{brand}", "substr(p_brand, strpos(p_brand, '#') + 1)")} FROM (SELECT *, substr(source, 3)::BIGINT AS n FROM said)) WHERE predicate IS NOT NULL),
+emitted AS (SELECT source AS id, CASE k WHEN 0 THEN 'CAUSED' WHEN 1 THEN 'CAUSED' WHEN 3 THEN 'INFLUENCED' ELSE 'PRECEDENT_FOR' END AS predicate,
+  substr(text, strpos(text, '#') + 1, strpos(substr(text, strpos(text, '#')), v.verb) - 3) AS subject, substr(text, strpos(text, v.verb) + length(v.verb) + 1) AS object
+  FROM said JOIN (VALUES (0, 'caused'), (1, 'led to'), (3, 'influenced'), (4, 'set a precedent for')) v(k, verb) USING (k)),
+each AS (SELECT s.source, s.k, (SELECT count(*) FROM golden g WHERE g.id = s.source) AS g, (SELECT count(*) FROM emitted e WHERE e.id = s.source) AS f,
+  (SELECT count(*) FROM golden g JOIN emitted e USING (id, predicate, subject, object) WHERE g.id = s.source) AS h FROM said s),
+sums AS (SELECT {{by}} sum(h)::BIGINT AS hits, sum(f)::BIGINT AS found, sum(g)::BIGINT AS gold, count(*) FILTER (WHERE g = 0) AS silent, count(*) FILTER (WHERE g = 0 AND f = 0) AS kept_silent FROM each {{group}}),
+rates AS (SELECT *, CASE WHEN found > 0 THEN hits / found::DOUBLE ELSE 0 END AS p, CASE WHEN gold > 0 THEN hits / gold::DOUBLE ELSE 0 END AS r, CASE WHEN silent > 0 THEN kept_silent / silent::DOUBLE ELSE 0 END AS q FROM sums)"""
+_EVAL_OUT = "hits, found, gold, silent, kept_silent, round(p, 6) AS precision, round(r, 6) AS recall, round(q, 6) AS silence_rate, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM rates"
+
+
+def _extract_quality(spark: SparkSession, sf_dir: str, by: str | None) -> DataFrame:
+    """Labels are stated by template and part number, and differ from what the rules say for every fifth part of some."""
+    texts = _sentences(spark, sf_dir).withColumn("family", F.expr("cast(substring(id, 3) as bigint) % 6"))
+    found, _ = extract.relations(texts.select("id", "text"))
     rows = found.select(F.col("source").alias("id"), "predicate", F.col("subject_text").alias("subject"), F.col("object_text").alias("object"))
-    gold = rows.where("predicate <> 'INFLUENCED'")
-    return evaluate.extraction_quality(gold, rows, texts)
+    parts_ = star.table(spark, sf_dir, "part").selectExpr("'p:' || p_partkey AS id", "p_partkey AS n", "p_partkey % 6 AS k", "substring_index(p_brand, '#', -1) AS brand")
+    ends = [e.strip() for e in _GOLD_ENDS.replace("{brand}", "brand").split(",\n")]
+    gold = parts_.selectExpr("id", f"{_GOLD} AS predicate", *ends).where("predicate is not null")
+    out = evaluate.extraction_quality(gold, rows, texts, by)
+    return out.select(*([by] if by else []), "hits", "found", "gold", "silent", "kept_silent", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "silence_rate", "f1")])
+
+
+@query(_with(_SAID, _EVAL.replace("{by}", "").replace("{group}", "")) + " SELECT " + _EVAL_OUT)
+def extract_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extract_quality(spark, sf_dir, None)
+
+
+@query(_with(_SAID, _EVAL.replace("{by}", "k AS family,").replace("{group}", "GROUP BY k")) + " SELECT family, " + _EVAL_OUT)
+def extract_eval_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extract_quality(spark, sf_dir, "family")
 
 
 # linking: mentions of nations among regions and nations
@@ -636,12 +721,60 @@ def link_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.link(_mentions(spark, sf_dir), _places(spark, sf_dir))[1].select("mention_id", "id", F.round("margin", 9).alias("margin"), "verdict")
 
 
-@query()
-def link_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LINK_JUDGED = """top AS (
+  SELECT m.id AS mention_id, CASE WHEN substr(m.id, 2)::INT % 4 < 3 THEN 'n' || substr(m.id, 2) END AS gold, substr(m.id, 2)::INT % 4 AS family, t.id, t.score, round(t.score - t.next, 12) AS margin,
+    m.mtype IS NOT NULL AND len(list_intersect(string_split(m.name, ' '), string_split(t.name, ' '))) = 1 AND list_intersect(string_split(m.name, ' '), string_split(t.name, ' '))[1] = m.mtype AS type_only,
+    (SELECT min(r.rank) FROM numbered r WHERE r.mention_id = m.id AND r.id = 'n' || substr(m.id, 2)) AS place
+  FROM mentions m LEFT JOIN numbered t ON t.mention_id = m.id AND t.rank = 1),
+judged AS (
+  SELECT *, gold IS NOT NULL AS real, gold IS NOT NULL AND coalesce(place, 0) = 1 AS right_,
+    CASE WHEN id IS NULL THEN 'no_candidates' WHEN margin = 0 THEN 'tie' WHEN coalesce(margin, 1) < 0.1 THEN 'weak' WHEN coalesce(type_only, false) THEN 'weak' ELSE 'ranked' END AS verdict FROM top)"""
+_LINK_RATES = """count(*) AS n, count(*) FILTER (WHERE real) AS in_store, round(count(*) FILTER (WHERE real AND place IS NOT NULL) / nullif(count(*) FILTER (WHERE real), 0)::DOUBLE, 6) AS recall_any,
+  round(count(*) FILTER (WHERE real AND place <= 3) / nullif(count(*) FILTER (WHERE real), 0)::DOUBLE, 6) AS recall_k, round(count(*) FILTER (WHERE right_) / nullif(count(*) FILTER (WHERE real), 0)::DOUBLE, 6) AS top1,
+  round(count(*) FILTER (WHERE NOT real AND verdict IN ('no_candidates', 'weak')) / nullif(count(*) FILTER (WHERE NOT real), 0)::DOUBLE, 6) AS nil_flagged, count(*) FILTER (WHERE right_ AND verdict = 'weak') AS soft_cost,
+  round(quantile_cont(margin, 0.5) FILTER (WHERE right_), 6) AS margin_right, round(quantile_cont(margin, 0.5) FILTER (WHERE real AND NOT right_ AND id IS NOT NULL), 6) AS margin_wrong,
+  round(quantile_cont(margin, 0.5) FILTER (WHERE right_) - quantile_cont(margin, 0.5) FILTER (WHERE real AND NOT right_ AND id IS NOT NULL), 6) AS separation FROM judged"""
+
+
+def _link_gold(mentions: DataFrame) -> DataFrame:
+    family = F.expr("cast(substring(mention_id, 2) as int) % 4")
+    return mentions.select("mention_id", F.when(family < 3, F.concat(F.lit("n"), F.substring("mention_id", 2, 9))).alias("gold"), family.alias("family"))
+
+
+def _link_quality(spark: SparkSession, sf_dir: str, by: str | None) -> DataFrame:
     mentions = _mentions(spark, sf_dir)
     ranked, verdicts = link.link(mentions, _places(spark, sf_dir))
-    gold = mentions.select("mention_id", F.when(F.expr("cast(substring(mention_id, 2) as int) % 4 < 3"), F.concat(F.lit("n"), F.substring("mention_id", 2, 9))).alias("gold"))
-    return evaluate.linking_quality(verdicts, ranked, gold)
+    out = evaluate.linking_quality(verdicts, ranked, _link_gold(mentions), 3, by)
+    rates = ("recall_any", "recall_k", "top1", "nil_flagged", "margin_right", "margin_wrong", "separation")
+    return out.select(*([by] if by else []), "n", "in_store", "soft_cost", *[F.round(c, 6).alias(c) for c in rates])
+
+
+@query(_with(_LINK, _LINK_JUDGED) + " SELECT " + _LINK_RATES)
+def link_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _link_quality(spark, sf_dir, None)
+
+
+@query(_with(_LINK, _LINK_JUDGED) + " SELECT family, " + _LINK_RATES + " GROUP BY family")
+def link_eval_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _link_quality(spark, sf_dir, "family")
+
+
+_NIL_RULES = {"none": "false", "score < 0.30": "score < 0.3", "score < 0.50": "score < 0.5", "margin < 0.05": "coalesce(margin, 1) < 0.05", "margin < 0.10": "coalesce(margin, 1) < 0.1", "margin < 0.10 or type only": "coalesce(margin, 1) < 0.1 or coalesce(type_only, false)"}
+
+
+@query(
+    _with(_LINK, _LINK_JUDGED)
+    + " SELECT *, kept + nil_rejected AS total FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, count(*) FILTER (WHERE right_ AND NOT d) AS kept, count(*) FILTER (WHERE NOT real AND d) AS nil_rejected, count(*) FILTER (WHERE NOT real AND (id IS NULL OR d)) AS nil_flagged, count(*) FILTER (WHERE right_) AS top1, count(*) FILTER (WHERE right_ AND d) AS soft FROM (SELECT *, coalesce({rule}, false) AS d FROM judged)"
+        for name, rule in _NIL_RULES.items()
+    )
+    + ")"
+)
+def link_nil_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = _mentions(spark, sf_dir)
+    _, verdicts = link.link(mentions, _places(spark, sf_dir))
+    return evaluate.nil_rules(verdicts, _link_gold(mentions).drop("family"), {name: F.expr(rule) for name, rule in _NIL_RULES.items()})
 
 
 @query("SELECT p_partkey AS key, CASE p_partkey % 6 WHEN 0 THEN 'outage' WHEN 1 THEN 'rewrite' WHEN 2 THEN 'spike' WHEN 3 THEN 'policy' WHEN 4 THEN 'contract' ELSE 'failure' END AS type FROM part")
@@ -685,22 +818,28 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # views and streams
 
 
-@query(_with(star.NODES, star.EDGES) + " SELECT n.id, n.kind, count(e.id) AS n_edges FROM nodes n LEFT JOIN (SELECT id, source AS end_id FROM edges UNION ALL SELECT id, target FROM edges) e ON e.end_id = n.id GROUP BY n.id, n.kind")
+@query(_with(star.NODES, star.EDGES) + " SELECT n.id, n.kind, CASE WHEN any_value(o.o_orderstatus) = 'P' THEN '(purged)' WHEN n.kind = 'node' THEN n.id || ' title' ELSE n.id END AS label, coalesce(any_value(o.o_orderstatus) = 'P', false) AS purged, count(e.id) AS n_edges FROM nodes n LEFT JOIN (SELECT id, source AS end_id FROM edges UNION ALL SELECT id, target FROM edges) e ON e.end_id = n.id LEFT JOIN orders o ON n.id = 'o:' || o.o_orderkey GROUP BY n.id, n.kind")
 def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = star.edges(spark, sf_dir)
-    ends = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).groupBy("id").agg(F.count("*").alias("n_edges"))
-    return star.nodes(spark, sf_dir).join(ends, "id", "left").select("id", "kind", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    """Orders without a name are shown by their id, those of status P as erased."""
+    status = star.table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"), F.col("o_orderstatus"))
+    content = F.when(F.col("kind") == "node", F.concat(F.lit('{"name":" ","title":"'), "id", F.lit(' title"}'))).otherwise(F.lit('{"name":7}'))
+    nodes = star.nodes(spark, sf_dir).join(status, "id", "left").select("id", "kind", content.alias("content"), F.coalesce(F.col("o_orderstatus") == "P", F.lit(False)).alias("purged"))
+    edges = star.edges(spark, sf_dir).select("id", "source", "target", "type", "weight", F.lit(False).alias("has_evidence"))
+    return views.graph(nodes, edges)[0]
 
 
 @query(_with(star.EVENT_LOG) + " SELECT workspace, seq, id FROM (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY seq DESC) AS r FROM log) WHERE r <= 3")
 def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.row_number().over(Window.partitionBy("workspace").orderBy(F.desc("seq")))
-    return star.event_log(spark, sf_dir).withColumn("r", last).where("r <= 3").select("workspace", "seq", "id")
+    return views.newest(star.event_log(spark, sf_dir), 3).select("workspace", "seq", "id")
 
 
-@query(_with(star.EVENT_LOG) + " SELECT id, content AS text FROM log WHERE event_type <> 'error'")
+@query(_with(star.EVENT_LOG) + " SELECT id, content AS text FROM log WHERE event_type NOT IN ('error', 'signup', 'view')")
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.event_log(spark, sf_dir).where("event_type <> 'error'").select("id", F.col("content").alias("text"))
+    """Errors are erased, sign-ups are retractions, views are retrieval rows."""
+    log = star.event_log(spark, sf_dir)
+    log = chain.purge_content(log, log.where("event_type = 'error'").select("id"))
+    kind = F.when(F.col("event_type") == "signup", "retraction").when(F.col("event_type") == "view", "retrieval").otherwise(F.col("kind"))
+    return views.searchable(log.withColumn("kind", kind))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
