@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; one of our own only where the session names none."""
+    """The shared checkpoint folder of the session.
+
+    Where it names none: in one process a folder of this machine will do; on a cluster
+    it is one below the warehouse, which all executors reach.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        top = f"/tmp/checkpoints/{uuid.uuid4().hex}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or top)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
