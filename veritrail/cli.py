@@ -13,7 +13,10 @@ from .store import Store
 
 
 def _show(df: DataFrame, limit: int = 1000) -> None:
-    for row in df.limit(limit).toJSON().collect():
+    rows = df.limit(limit + 1).toJSON().collect()
+    if len(rows) > limit:
+        print(f"the first {limit} rows of more", file=sys.stderr)
+    for row in rows[:limit]:
         print(row)
 
 
