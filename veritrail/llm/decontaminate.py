@@ -7,10 +7,11 @@ is its rarest word.  Documents are joined on these prefix words only; a match at
 word ``i`` fixes where the window would start, the start and the length have to
 fit into the document, and the words are then compared exactly.
 
-The benchmark is the bounded side: it is split into blocks of about
-``BLOCK_WINDOWS`` windows, each block's index is broadcast, and a document passes
-all blocks one after another, so the memory of a pass is bounded whatever the
-size of the benchmark.
+The benchmark is the bounded side: its vocabulary is counted over all documents in
+one pass, and it is split into blocks of about ``BLOCK_WINDOWS`` windows.  The index
+of a block is broadcast and every document meets it in a pass of its own, which keeps
+rows with hits only, so the memory of a pass is bounded whatever the size of the
+benchmark.  Texts alone go to Python, findings alone come back.
 
 Defined cases
     null and empty texts have no words and no hits; items without words occur
@@ -21,7 +22,6 @@ Defined cases
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -31,7 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable, releasing, rewritten, slices
+
 WINDOW = 8
+CHUNK = 1 << 20
 BLOCK_WINDOWS = 100_000
 _LOWER = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _RUN = re.compile(rb"[^ ]+")
@@ -82,6 +85,7 @@ def _rarity(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     """In how many documents each word of a benchmark block occurs."""
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = defaultdict(int)
         for batch in batches:
@@ -94,78 +98,100 @@ def _rarity(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without its text column, plus _data (the text), n_words, hits (start and
-    end of each run of hit words, as packed 32-bit pairs), items and contained (items
-    of which half of the windows or more occur)."""
+_FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,contained:array<string>,hits:binary,cut:binary>"
+_SHAPE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("contained", pa.list_(pa.string())), ("hits", pa.binary()), ("cut", pa.binary())])
+
+
+def _find(text: bytes | None, index: dict | None, earlier: list[dict], cutting: bool) -> dict:
+    """What one text holds of one block, with what earlier passes have found in it."""
+    words = words_of(text)
+    found = find_windows(words, index) if index else []
+    out = {"n_words": len(words), "n_hit": 0, "items": [], "contained": [], "hits": None, "cut": None}
+    if not found and not earlier:
+        return out
+    hit = np.zeros(len(words) + 1, bool)
+    items, contained = set(), set()
+    for before in earlier:
+        items.update(before["items"])
+        contained.update(before["contained"])
+        for a, b in np.frombuffer(before["hits"], np.uint32).reshape(-1, 2):
+            hit[a:b] = True
+    share: dict[str, list] = {}
+    for start, window in found:
+        hit[start : start + len(window)] = True
+    for window in {w for _, w in found}:
+        for item, n in index["holders"][window]:
+            share.setdefault(item, [0, n])[0] += 1
+    spans = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8))).astype(np.uint32)
+    out |= {"n_hit": int(hit.sum()), "items": sorted({*items, *share}), "hits": spans.tobytes()}
+    out["contained"] = sorted({*contained, *(k for k, (got, n) in share.items() if 2 * got >= n)})
+    out["cut"] = cut(text, spans.reshape(-1, 2)) if cutting else None
+    return out
+
+
+def _finder(index, cutting: bool):
+    @F.arrow_udf(_FOUND)
+    @releasing
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([_find(text, index.value, [], cutting) for _, texts in slices(column, CHUNK) for text in texts], _SHAPE)
+
+    return run(F.col("text").cast("binary"))
+
+
+def _settle(cutting: bool):
+    @F.arrow_udf(_FOUND)
+    @releasing
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, known in columns:
+            yield pa.array([_find(text, None, known[at + i].as_py() or [], cutting) for at, texts in slices(column, CHUNK) for i, text in enumerate(texts)], _SHAPE)
+
+    return run(F.col("text").cast("binary"), F.col("known"))
+
+
+def match(docs: DataFrame, benchmark: DataFrame, cutting: bool = False) -> DataFrame:
+    """row (a struct of all columns of ``docs``), text and found: n_words, n_hit, items, contained (items of which half
+    of the windows or more occur), hits (start and end of each run of hit words, as packed
+    32-bit pairs) and, with ``cutting``, the text without them."""
     spark = docs.sparkSession
     items = _items(benchmark)
     bytes_in = items.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-bytes_in // (BLOCK_WINDOWS * 8)))
-    out = docs.withColumn("_data", F.col("text").cast("binary")).drop("text")
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(b""), "items": F.expr("cast(array() as array<string>)"), "contained": F.expr("cast(array() as array<string>)")})
+    vocabulary = items.mapInArrow(_vocabulary, "word binary").distinct().collect()  # the words of the benchmark, the bounded side
+    rarity = _rarity(docs, {bytes(r["word"]) for r in vocabulary})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+    def index_of(part: DataFrame):
+        return spark.sparkContext.broadcast(build_index([(r["item"], bytes(r["data"])) for r in part.collect()], rarity))  # one block: bounded
+
+    if blocks == 1:
+        return rows.withColumn("found", _finder(index_of(items), cutting))
+    rows = durable(rows.withColumn("at", F.monotonically_increasing_id()))
+    passes = []
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = [(r["item"], bytes(r["data"])) for r in part.collect()]  # one block: bounded
-        vocabulary = {w for _, text in rows for w in words_of(text)}
-        index = spark.sparkContext.broadcast(build_index(rows, _rarity(docs, vocabulary)))
-        out = out.mapInArrow(_finder(index), out.schema)
-    return out
+        found = _finder(index_of(items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)), False)
+        passes.append(durable(rows.select("at", found.alias("found")).where(F.size("found.items") > 0)))
+    known = passes[0]
+    for part in passes[1:]:
+        known = known.unionByName(part)
+    known = known.groupBy("at").agg(F.collect_list("found").alias("known"))  # one entry a block at most
+    return rows.join(known, "at", "left").withColumn("found", _settle(cutting)).select("row", "text", "found")
 
 
-def _finder(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            n_words, hits, items, contained = [], [], [], []
-            known = zip(*(batch.column(c) for c in ("_data", "hits", "items", "contained")), strict=True)
-            for text, before, held, full in known:
-                words = words_of(text.as_py())
-                n_words.append(len(words))
-                found = find_windows(words, index.value)
-                if not found:
-                    hits.append(before.as_py())
-                    items.append(held.as_py())
-                    contained.append(full.as_py())
-                    continue
-                hit = np.zeros(len(words) + 1, bool)
-                for a, b in np.frombuffer(before.as_py(), np.uint32).reshape(-1, 2):
-                    hit[a:b] = True
-                share: dict[str, list] = {}
-                for start, window in found:
-                    hit[start : start + len(window)] = True
-                for window in {w for _, w in found}:
-                    for item, n in index.value["holders"][window]:
-                        share.setdefault(item, [0, n])[0] += 1
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
-                hits.append(edges.astype(np.uint32).tobytes())
-                items.append(sorted({*held.as_py(), *share}))
-                contained.append(sorted({*full.as_py(), *(k for k, (got, n) in share.items() if 2 * got >= n)}))
-            new = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string())), "contained": pa.array(contained, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
-
-    return run
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = {w for text in batch.column("data").to_pylist() for w in words_of(text)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary())], names=["word"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     found = match(docs.select("doc_id", "text"), benchmark)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [np.frombuffer(h.as_py(), np.uint32).reshape(-1, 2) for h in batch.column("hits")]
-            items = batch.column("items").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("n_words"), pa.array([int((s[:, 1].astype(np.int64) - s[:, 0]).sum()) for s in spans], pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                    pa.array([len(x) >= least_items for x in items]),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.drop("_data", "contained").mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    n_items = F.size("found.items").cast("long")
+    return found.select(
+        "row.doc_id", "found.n_words", "found.n_hit", n_items.alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"),
+    )
 
 
 def cut(text: bytes, spans: np.ndarray) -> bytes:
@@ -181,17 +207,5 @@ def cut(text: bytes, spans: np.ndarray) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
     """The columns of ``docs``.  Documents that hold ``least_items`` items, or half of the
     windows of any item, go; from the others the hit words are cut out (n_chars follows)."""
-    kept = [c for c in docs.columns if c != "text"]
-    whole = docs.select(F.struct(*kept).alias("row"), "text")
-    marked = match(whole, benchmark).where((F.size("items") < least_items) & (F.size("contained") == 0)).select("row", "_data", "hits")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() if not h.as_py() else cut(t.as_py(), np.frombuffer(h.as_py(), np.uint32).reshape(-1, 2)) for t, h in zip(batch.column("_data"), batch.column("hits"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], names=["row", "_data"])
-
-    out = marked.mapInArrow(clean, marked.drop("hits").schema).select("row", F.col("_data").cast("string").alias("text"))
-    columns = {c: F.col("row")[c] for c in kept} | {"text": F.col("text")}
-    if "n_chars" in kept:
-        columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    marked = match(docs, benchmark, cutting=True).where((F.size("found.items") < least_items) & (F.size("found.contained") == 0))
+    return marked.select(*rewritten(docs, F.col("row"), F.coalesce(F.col("found.cut").cast("string"), F.col("row.text"))))

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, fold_of, sample_share
+from .common import fold_of, releasing, sample_share, slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Fitting uses about this many labelled rows of a language at most.
 TRAIN_ROWS_PER_LANG = 600
 
@@ -36,9 +36,11 @@ def _pieces(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], np.ndarra
     """Code points of lower-cased texts in runs of about CHUNK: ([(row, n counted starts)], points).
 
     Each piece is followed by ``max(ORDERS) - 1`` points of what comes next in its
-    text, or zeros at its end, so n-grams never depend on neighbours in the batch.
+    text, or zeros at its end, so n-grams never depend on neighbours in the batch; one
+    more zero ends a run, so that every counted start has its n-gram.
     """
     tail = max(ORDERS) - 1
+    end = np.zeros(1, np.uint32)
     rows: list[tuple[int, int]] = []
     parts: list[np.ndarray] = []
     size = 0
@@ -53,10 +55,10 @@ def _pieces(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], np.ndarra
             parts.append(points[at : at + n + tail])
             size += n
             if size >= CHUNK:
-                yield rows, np.concatenate(parts)
+                yield rows, np.concatenate([*parts, end])
                 rows, parts, size = [], [], 0
     if rows:
-        yield rows, np.concatenate(parts)
+        yield rows, np.concatenate([*parts, end])
 
 
 def _buckets(points: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -69,8 +71,8 @@ def _buckets(points: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (h % np.uint32(buckets)).astype(np.int32)
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [v.decode("utf-8", "replace").lower() if v else "" for v in column.to_pylist()]
+def _lower(value: bytes | None) -> str:
+    return value.decode("utf-8", "replace").lower() if value else ""
 
 
 def fit(docs: DataFrame, learn: str, buckets: int = BUCKETS, rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> dict | None:
@@ -89,14 +91,14 @@ def fit(docs: DataFrame, learn: str, buckets: int = BUCKETS, rows_per_lang: int
     for lang in langs:
         keep = keep | ((F.col("lang") == F.lit(lang)) & sample_share(F.col("doc_id"), rows_per_lang / sizes[lang]))
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {lang: k for k, lang in enumerate(langs)}
         totals = np.zeros((len(langs), buckets), np.int64)
         for batch in batches:
             lang_of = batch.column("lang").to_pylist()
-            data = batch.column("data")
-            for lo, hi in batches_of_bytes((v.as_py() for v in data), 4 * CHUNK):
-                for rows, points in _pieces(_texts(data.slice(lo, hi - lo))):
+            for lo, texts in slices(batch.column("data"), 2 * CHUNK):
+                for rows, points in _pieces([_lower(v) for v in texts]):
                     pos = 0
                     for i, n in rows:
                         run = points[pos : pos + n + max(ORDERS) - 1]
@@ -144,28 +146,27 @@ def score_texts(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row (``held_out`` is passed through)."""
-    rows = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("data"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    @releasing
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
-        names = np.array([*known["langs"], "und"], dtype=object)
-        for batch in batches:
-            data, lettered = batch.column("data"), np.array(batch.column("lettered").to_pylist(), bool)
-            best, share = np.full(len(data), len(names) - 1), np.zeros(len(data))
-            for lo, hi in batches_of_bytes((v.as_py() for v in data), 4 * CHUNK):
-                best[lo:hi], share[lo:hi] = score_texts(_texts(data.slice(lo, hi - lo)), known)
-            best = np.where(lettered, best, len(names) - 1)
-            share = np.where(lettered, share, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(np.minimum(share, 1.0))],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+        names = np.array(known["langs"], dtype=object)
+        for column in columns:
+            found = [score_texts([_lower(v) for v in texts], known) for _, texts in slices(column, 2 * CHUNK)]
+            best = np.concatenate([np.empty(0, int), *(b for b, _ in found)])
+            share = np.concatenate([np.empty(0), *(s for _, s in found)])
+            yield pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(np.minimum(share, 1.0).round(6))], names=["lang", "score"])
+
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select("doc_id", "held_out", lettered.alias("lettered"), score(F.col("text").cast("binary")).alias("found"))
+    return rows.select(
+        "doc_id", "held_out", F.when(F.col("lettered"), F.col("found.lang")).otherwise("und").alias("lang_pred"),
+        F.when(F.col("lettered"), F.col("found.score")).otherwise(0.0).alias("score"),
+    )
 
 
 def identify_languages(docs: DataFrame, folds: int = 5, held_fold: int = 0, **options) -> DataFrame:

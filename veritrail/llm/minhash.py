@@ -1,19 +1,21 @@
 """Near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its ``WIDTH``-word shingles; a weight is the count
-of the shingle in the text times its IDF.  Document frequencies are counted over
-all documents in ``DF_BUCKETS`` hash buckets (feature hashing), so the table that
-travels to the tasks has a fixed size.  ``SAMPLES`` consistent weighted samples of
-each text agree between two texts with the probability of their weighted Jaccard
-similarity; they form ``BANDS`` bands of ``ROWS``.  Texts that share a band are
-candidates, and every link is verified by the exact weighted Jaccard similarity.
+of the shingle in the text times its IDF.  The IDF of a shingle that a share ``f`` of
+all documents hold is ``1 + ln(1 / max(f, s)) / ln(1 / s)``: shingles rarer than ``s``
+all weigh 2, and those above it, at most ``HEAVY`` of them whatever the size of the
+corpus, are counted exactly.  ``SAMPLES`` consistent weighted samples of each text
+agree between two texts with the probability of their weighted Jaccard similarity;
+they form ``BANDS`` bands of ``ROWS``.  Texts that share a band are candidates, and
+every link is verified by the exact weighted Jaccard similarity.
 
 Exact copies are one class from the start.  Pairs are never listed inside a band:
 first each member is checked against the least of its band, and the verified
 links form components.  Only bands whose members are then in several components
 are looked at again, in blocks: members of different components whose samples
-agree as often as similar texts do (``AGREE`` of ``SAMPLES``) are checked inside
-the block until none are left apart, and only links that join components leave it.
+agree as often as similar texts do (``least_agree`` of ``SAMPLES``; 0 checks every
+pair) are checked inside the block until none are left apart, and only links that
+join components leave it.
 
 Defined cases
     null and empty texts, and texts without a word, are near to nothing; empty ones
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import batches_of_bytes, durable, salted_lookup
+from .common import durable, releasing, slices
 from .words import LOWER, PLAIN, positions_in, shingles, word_hashes
 
 WIDTH = 5
@@ -43,16 +45,22 @@ ROWS = 3
 SAMPLES = BANDS * ROWS
 #: Samples of 36 that pairs of similarity 0.8 share but for one in 100,000.
 AGREE = 18
+#: The share of documents from which a shingle's frequency counts, and how many such shingles
+#: there may be: a corpus of longer texts has a larger share.
+SHARE = 1 / 256
+HEAVY = 1 << 20
 DF_BUCKETS = 1 << 18
-CHUNK = 1 << 20
-BLOCK = 512
+CHUNK = 1 << 19
+#: Rows and bytes of text of a block of a band.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 SALT_ROWS = 256
 #: Shingles that a task keeps of one block.
 HELD_SHINGLES = 3_000_000
 _TABLE_BITS = 15
 
 
-def weighted_sets(texts: list[bytes | None], idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted_sets(texts: list[bytes | None], idf: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle hashes, weights, shingles by text), hashes ascending in each text."""
     words, counts = word_hashes([t or b"" for t in texts], PLAIN, LOWER)
     doc, pos = positions_in(counts)
@@ -71,18 +79,31 @@ def weighted_sets(texts: list[bytes | None], idf: np.ndarray | None) -> tuple[np
     tf = np.diff([*at, len(owner)]).astype(np.float64)
     owner, hashes = owner[at], hashes[at]
     sizes = np.bincount(owner, minlength=len(texts))
-    return hashes, tf if idf is None else tf * idf[(hashes >> np.uint64(20)) % np.uint64(len(idf))], sizes
+    return hashes, tf if idf is None else tf * idf_of(hashes, idf), sizes
+
+
+def idf_of(hashes: np.ndarray, idf: dict) -> np.ndarray:
+    out = np.full(len(hashes), 2.0)
+    if len(idf["hashes"]) and len(hashes):
+        at = np.minimum(np.searchsorted(idf["hashes"], hashes), len(idf["hashes"]) - 1)
+        hit = idf["hashes"][at] == hashes
+        out[hit] = idf["weights"][at[hit]]
+    return out
 
 
 _rng = np.random.default_rng(5)
 _GAMMA = _rng.gamma(2, 1, (SAMPLES, 1 << _TABLE_BITS)).astype(np.float32)
-_LOG_C = np.log(_rng.gamma(2, 1, (SAMPLES, 1 << _TABLE_BITS))).astype(np.float32)
 _BETA = _rng.random((SAMPLES, 1 << _TABLE_BITS), np.float32)
 _ODD = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_UNIT = np.float32(2**-24)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SAMPLES 32-bit consistent weighted samples of every text with a shingle (rows of zero for others)."""
+    """SAMPLES 32-bit consistent weighted samples of every text with a shingle (rows of zero for others).
+
+    The deciding draw, gamma(2, 1) as the log of a product of two uniforms, is made of 48 bits
+    of the shingle's own hash; step and offset come from tables of 2^15 draws.
+    """
     out = np.zeros((len(sizes), SAMPLES), np.uint32)
     filled = np.flatnonzero(sizes)
     if not len(filled):
@@ -90,12 +111,18 @@ def samples(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.nd
     starts = (np.cumsum(sizes) - sizes)[filled]
     own = sizes[filled]
     log_w = np.log(weights).astype(np.float32)
+    mixed = hashes ^ (hashes >> np.uint64(32))
     for k in range(SAMPLES):
         with np.errstate(over="ignore"):
-            at = ((hashes * _ODD[k]) >> np.uint64(64 - _TABLE_BITS)).astype(np.intp)
-        r = _GAMMA[k].take(at)
-        t = np.floor(log_w / r + _BETA[k].take(at))
-        a = _LOG_C[k].take(at) - r * (t - _BETA[k].take(at) + np.float32(1))
+            x = mixed * _ODD[k]
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+        at = (x & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.intp)
+        u = ((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * _UNIT
+        u *= (((x >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * _UNIT
+        r, beta = _GAMMA[k].take(at), _BETA[k].take(at)
+        t = np.floor(log_w / r + beta)
+        a = np.log(-np.log(u)) - r * (t - beta + np.float32(1))
         least = np.minimum.reduceat(a, starts)
         hit = np.flatnonzero(a == np.repeat(least, own))
         pick = hit[np.searchsorted(hit, starts)]  # ties: the smallest hash
@@ -115,26 +142,53 @@ def _bands(rows: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def fit_idf(docs: DataFrame) -> np.ndarray:
-    """IDF by hash bucket, 1 + ln((N + 1) / (df + 1)) / ln(N + 1), over all documents."""
+def fit_idf(docs: DataFrame) -> dict:
+    """Hashes (ascending) and weights of the shingles that more than a share of all documents hold.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A first pass counts documents by hash bucket; only shingles of buckets above the share can
+    be above it themselves, and these are counted one by one in a second pass.
+    """
+    texts = docs.select(F.col("text").cast("binary").alias("data"))
+
+    @releasing
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(DF_BUCKETS + 1, np.int64)
         for batch in batches:
-            data = batch.column("data").to_pylist()
-            df[-1] += len(data)
-            for lo, hi in batches_of_bytes(data, CHUNK):
-                hashes, _, _ = weighted_sets(data[lo:hi], None)
-                df[:-1] += np.bincount(((hashes >> np.uint64(20)) % np.uint64(DF_BUCKETS)).astype(np.int64), minlength=DF_BUCKETS)
+            df[-1] += batch.num_rows
+            for _, data in slices(batch.column("data"), CHUNK):
+                df[:-1] += np.bincount(_bucket(weighted_sets(data, None)[0]), minlength=DF_BUCKETS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["bucket", "n"])
 
-    counted = docs.select(F.col("text").cast("binary").alias("data")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most DF_BUCKETS + 1 rows
+    got = texts.mapInArrow(sieve, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most DF_BUCKETS + 1 rows
     df = np.zeros(DF_BUCKETS + 1)
     df[got["bucket"]] = got["n"]
     total = df[-1]
-    return (1 + np.log((total + 1) / (np.minimum(df[:-1], total) + 1)) / np.log(total + 2)).astype(np.float64)
+    share = max(SHARE, df[:-1].sum() / max(total, 1) / HEAVY)
+    open_ = df[:-1] > share * total
+    if not open_.any():
+        return {"hashes": np.empty(0, np.uint64), "weights": np.empty(0)}
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(open_))
+
+    @releasing
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.unpackbits(shared.value, count=DF_BUCKETS).astype(bool)
+        for batch in batches:
+            for _, data in slices(batch.column("data"), CHUNK):
+                hashes = weighted_sets(data, None)[0]
+                hashes, n = np.unique(hashes[open_[_bucket(hashes)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+    # each counts for more than share * total of all df.sum() pairs of document and shingle: at most HEAVY rows
+    heavy = texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(float(share * total))).toPandas()
+    hashes = heavy["hash"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    weights = 1 + np.log(total / heavy["n"].to_numpy(float)[order]) / np.log(1 / share) if share < 1 else np.ones(len(order))
+    return {"hashes": hashes[order], "weights": weights}
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(DF_BUCKETS)).astype(np.int64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -149,12 +203,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
     """The pairs (a, b) whose texts reach the similarity.  Each side's text is joined by its
     id; an ``a`` of many pairs is split, and its text written once for each part."""
     hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
-    salted = salted_lookup(pairs, hot, ["a"]).select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"), F.lit(0)).alias("salt"))
+    hot = durable(hot)
+    salted = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"), F.lit(0)).alias("salt"))
     left = salted.join(texts.select(F.col("cid").alias("b"), F.col("data").alias("data_b")), "b")
     right = texts.select(F.col("cid").alias("a"), F.col("data").alias("data_a")).join(hot, "a", "left")
     right = right.select("a", "data_a", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     both = left.join(right, ["a", "salt"])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict = {}
@@ -174,7 +230,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
     return both.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
-def _cross(idf, similarity: float):
+def _cross(idf, similarity: float, least_agree: int = AGREE):
     """Links of one band block that join components: members of different components whose samples
     agree often enough are checked, unless links found before have joined them."""
 
@@ -189,7 +245,7 @@ def _cross(idf, similarity: float):
             agree = np.zeros((len(some), len(right)), np.int16)
             for k in range(SAMPLES):
                 agree += rows[some, k][:, None] == rows[right, k][None, :]
-            i, j = np.nonzero((agree >= AGREE) & (root[some][:, None] != root[right][None, :]))
+            i, j = np.nonzero((agree >= least_agree) & (root[some][:, None] != root[right][None, :]))
             i, j = some[i], right[j]
             # a pair belongs to the first band that it shares
             own = np.take_along_axis(bands[i], (bands[i] == bands[j]).argmax(axis=1)[:, None], axis=1)[:, 0] == band
@@ -243,53 +299,57 @@ def _text_key() -> Column:
     return F.md5(F.coalesce(F.concat(F.lit("t").cast("binary"), F.col("text").cast("binary")), F.lit("n").cast("binary")))
 
 
-def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, similarity: float, least_agree: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id and same - the key of its text - of every row; same, least - its least id -, n and root of every text)."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(fit_idf(docs))
-    kind = docs.schema["doc_id"].dataType
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column("data").to_pylist()
+    @F.arrow_udf("binary")
+    @releasing
+    def sign(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
             sigs = []
-            for lo, hi in batches_of_bytes(data, CHUNK):
-                hashes, weights, sizes = weighted_sets(data[lo:hi], idf.value)
+            for _, data in slices(column, CHUNK):
+                hashes, weights, sizes = weighted_sets(data, idf.value)
                 rows = samples(hashes, weights, sizes)
                 sigs += [r.tobytes() if n else None for r, n in zip(rows, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(sigs, pa.binary())], names=["doc_id", "same", "sig"])
+            yield pa.array(sigs, pa.binary())
 
     rows = docs.select("doc_id", _text_key().alias("same"), F.col("text").cast("binary").alias("data"))
-    signed = durable(rows.mapInArrow(sign, f"doc_id {kind.simpleString()}, same string, sig binary"))
-    classes = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    signed = durable(rows.select("doc_id", "same", F.octet_length("data").alias("bytes"), sign("data").alias("sig")))
+    classes = signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("sig").alias("sig"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
 
+    @releasing
     def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, SAMPLES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cid").to_numpy(), BANDS)), pa.array(_bands(sigs).ravel())], names=["cid", "band"])
-
-    banded = classes.where("sig is not null").select("cid", "sig").mapInArrow(band_rows, "cid long, band long")
-    shared = durable(banded.groupBy("band").agg(F.min("cid").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    members = durable(banded.join(shared, "band").select("band", "a", F.col("cid").alias("b"), "n"))
+            cid, size = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("cid", "bytes"))
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(_bands(sigs).ravel()), pa.array(size)], names=["cid", "band", "bytes"])
+
+    banded = classes.where("sig is not null").select("cid", F.col("bytes").cast("long").alias("bytes"), "sig").mapInArrow(band_rows, "cid long, band long, bytes long")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    # written, as both sides of the next join then are plain shuffles, of which Spark splits a hot band
+    shared = durable(banded.groupBy("band").agg(F.min("cid").alias("a"), F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1").drop("n"))
+    members = durable(banded.join(shared, "band").select("band", "a", F.col("cid").alias("b"), "blocks"))
     first = durable(members.where("a <> b").select("a", "b").distinct())
 
     # the texts of candidates only: one row of each class
     wanted = first.select(F.col("a").alias("cid")).unionByName(first.select(F.col("b").alias("cid"))).distinct()
-    chosen = classes.join(wanted, "cid").select("cid", "same", "least")
-    texts = durable(rows.join(chosen, (rows["same"] == chosen["same"]) & rows["doc_id"].eqNullSafe(chosen["least"])).select("cid", "data").dropDuplicates(["cid"]))
+    chosen = classes.join(wanted, "cid").select("cid", F.col("same").alias("_same"), F.col("least").alias("_least"))
+    texts = durable(rows.join(chosen, (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_least"))).select("cid", "data").dropDuplicates(["cid"]))
     links = durable(_verify(first, texts, idf, similarity))
     roots = components(links)
 
     # bands that still hold several components
-    rooted = members.select("band", F.col("b").alias("cid"), "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    again = rooted.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rooted = members.select("band", F.col("b").alias("cid"), "blocks").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = durable(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"))
+    again = rooted.join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     again = again.join(classes.select("cid", "sig").join(texts, "cid"), "cid")
     # block x meets block y: each member stands in one row of blocks and one column
     spots = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("role")))
     met = again.select("band", F.explode(spots).alias("s"), "cid", "root", "sig", "data").select("band", "s.x", "s.y", "s.role", "cid", "root", "sig", "data")
-    compare = _cross(idf, similarity)
+    compare = _cross(idf, similarity, least_agree)
     more = met.groupBy("band", "x", "y").applyInArrow(lambda key, table: compare(key, table), "a long, b long")
     roots = components(links.unionByName(more))
 
@@ -297,23 +357,24 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     return signed.select("doc_id", "same"), named
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, least_agree: int = AGREE) -> DataFrame:
     """doc_id, class_id (the least id of its class), kept, n_copies (rows with the same text),
     n_class (rows of the class), for every row."""
-    rows, named = _classes(docs, similarity)
-    summed = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
-    table = salted_lookup(named.select("cid", "root", "same", "n"), summed, ["root"]).select("same", "class_id", F.col("n").alias("n_copies"), "n_class")
-    out = salted_lookup(rows, table, ["same"])
+    rows, named = _classes(docs, similarity, least_agree)
+    # written for the same reason: a root may have a third of all texts, and a text a third of all rows
+    summed = durable(named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class")))
+    table = named.join(summed, "root", "left").select("same", "class_id", F.col("n").alias("n_copies"), "n_class")
+    out = rows.join(table, "same", "left")
     kind = docs.schema["doc_id"].dataType
     return out.select("doc_id", F.col("class_id").cast(kind).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"), "n_copies", "n_class")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, least_agree: int = AGREE) -> DataFrame:
     """One row of each class with all its columns: that of the least id (without any id: of the
     least text key), and one of the rows that repeat it."""
-    _, named = _classes(docs, similarity)
+    _, named = _classes(docs, similarity, least_agree)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "same")).alias("best"))
     best = best.select(F.col("best.same").alias("_best"), F.col("best.least").alias("_least"))
     rows = docs.select(_text_key().alias("_same"), F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("row"))
     chosen = rows.join(best, (F.col("_same") == F.col("_best")) & F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
-    return chosen.dropDuplicates(["_same"]).select("row.*")
+    return chosen.dropDuplicates(["_same", "_id"]).select("row.*")  # keyed as the join, so that nothing is shuffled again

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import durable, salted_lookup
+from .common import durable
 
 #: Sources that one level schedules at most, and sources of one group where there are more.
 MAX_SOURCES = 1024
@@ -126,11 +126,11 @@ def _levels(sources: DataFrame, n: int) -> tuple[DataFrame, list[tuple[DataFrame
 
 def _climb(blocks: DataFrame, named: DataFrame, levels: list[tuple[DataFrame, DataFrame, int]]) -> DataFrame:
     """``blocks``: _src, block -> with release, deadline, slot."""
-    now = salted_lookup(blocks.select("block", "_src"), named, ["_src"]).withColumns({"release": F.col("block"), "deadline": F.col("block") + 1, "slot": F.col("block")})
+    now = blocks.select("block", "_src").join(named, "_src", "left").withColumns({"release": F.col("block"), "deadline": F.col("block") + 1, "slot": F.col("block")})
     now = now.select("slot", "block", "_src", "node", "release", "deadline")
     for quota, plan, period in levels:
-        now = salted_lookup(now, quota, ["node"]).withColumn("k", F.expr("slot % slots"))
-        now = salted_lookup(now, plan.withColumnRenamed("slot", "at"), ["node", "k"])
+        now = now.join(quota, "node", "left").withColumn("k", F.expr("slot % slots"))
+        now = now.join(plan.withColumnRenamed("slot", "at"), ["node", "k"], "left")
         now = now.select(
             F.expr(f"(slot div slots) * {period} + at").alias("slot"), "block", "_src", F.col("group").alias("node"),
             F.expr(f"(release * {period}) div slots").alias("release"), F.expr(f"(deadline * {period} + slots - 1) div slots").alias("deadline"),

@@ -5,8 +5,9 @@ whole text is encoded (hashed byte 2- and 3-grams plus a few surface ratios, the
 a learned tanh layer); a gated attention ``softmax(w . (tanh(Vh) * sigmoid(Uh)))``
 weighs the encoded passages, and a logistic layer scores their weighted sum.
 Only document labels are learned from.  The fit uses a bounded sample of labelled
-rows (``rows_per_class`` of each class, ``MAX_TRAIN_PASSAGES`` evenly spaced
-passages of each); scoring always uses every passage of every row.
+rows (``rows_per_class`` of each class, and no more of them than ``TRAIN_BYTES`` of
+text hold), each with all its passages; scoring uses every passage of every row.
+A text's features and score depend on that text and the model alone.
 
 Defined cases
     null and empty texts are one passage without content and get a score too;
@@ -20,24 +21,25 @@ Defined cases
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, fold_of, sample_share
+from .common import batches_of_bytes, fold_of, releasing, sample_share, slices
 
 PASSAGE_WORDS = 64
 HASHED = 256
 SURFACE = 6
-PIECE = 1 << 20
+PIECE = 1 << 18
 HIDDEN = 24
 GATE = 12
-#: Bounds of the fit.
+#: Bounds of the fit: rows and bytes of text of each class.
 TRAIN_ROWS_PER_CLASS = 600
-MAX_TRAIN_PASSAGES = 48
+TRAIN_BYTES = 16 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -56,11 +58,13 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features by passage, passages by text); a text without words has one passage."""
-    joined = b"\n".join(texts)
-    raw = np.frombuffer(joined + b"\n", np.uint8)
+    """(features by passage, passages by text); a text without words has one passage.
+
+    Every text is followed by two line ends, so its last n-grams never reach the next one.
+    """
+    raw = np.frombuffer(b"\n\n".join(texts) + b"\n\n", np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
-    first_byte = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    first_byte = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]])
     space = _SPACE[raw]
     starts = ~space
     starts[1:] &= space[:-1]
@@ -148,21 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER
         chosen = chosen | ((F.col("label") == label) & sample_share(F.col("doc_id"), rows_per_class / n))
     # the chosen labels are about 2 x rows_per_class rows: bounded, so broadcast
     sample = docs.select("doc_id", F.col("text").cast("binary").alias("data")).join(F.broadcast(known.where(chosen)), "doc_id")
+    ahead = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), F.xxhash64("data")).rowsBetween(Window.unboundedPreceding, -1)  # rows of the sample only
+    sample = sample.withColumn("ahead", F.coalesce(F.sum(F.coalesce(F.octet_length("data"), F.lit(0))).over(ahead), F.lit(0))).where(F.col("ahead") < TRAIN_BYTES).drop("ahead")
 
+    @releasing
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels_, sizes_, blobs = batch.column("label").to_pylist(), [], []
             for value in batch.column("data"):
                 rows = np.concatenate([encode([piece])[0] for piece in _pieces(value.as_py() or b"")])
-                if len(rows) > MAX_TRAIN_PASSAGES:
-                    rows = rows[np.linspace(0, len(rows) - 1, MAX_TRAIN_PASSAGES).astype(int)]
                 sizes_.append(len(rows))
                 blobs.append(rows.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels_, pa.int32()), pa.array(sizes_, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "label", "n", "blob"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(features, f"doc_id {kind}, label int, n int, blob binary").toPandas()
-    got["key"] = got["blob"].map(hash)
+    got["key"] = got["blob"].map(zlib.crc32)
     got = got.sort_values(["doc_id", "n", "key"])
     y = got["label"].to_numpy(float)
     if len(set(y)) < 2:
@@ -172,10 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER
     params = _train((x - mean) / std, got["n"].to_numpy(), y)
     # back from the sample's class balance to that of all labels
     shift = np.log(sizes[1] / sizes[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return {"p": {k: np.asarray(v, np.float32) for k, v in params.items()}, "mean": mean, "std": std, "shift": float(shift)}
+    return {"p": {k: np.asarray(v, np.float64) for k, v in params.items()}, "mean": mean, "std": std, "shift": float(shift)}
 
 
 def score_texts(texts: list[bytes | None], model: dict) -> np.ndarray:
+    """In double precision and rounded, so that a score is the same in any company."""
     if "constant" in model:
         return np.full(len(texts), model["constant"])
     p, out = model["p"], np.empty(len(texts))
@@ -184,45 +190,42 @@ def score_texts(texts: list[bytes | None], model: dict) -> np.ndarray:
         hidden, gates, sizes = [], [], np.zeros(hi - lo, np.int64)
         for a, b in batches_of_bytes([piece for _, piece in pieces], PIECE):
             x, n = encode([piece for _, piece in pieces[a:b]])
-            h = np.tanh((x - model["mean"]) / model["std"] @ p["W"] + p["b"])
+            h = np.tanh((x - model["mean"]).astype(np.float64) / model["std"] @ p["W"] + p["b"])
             hidden.append(h)
             gates.append((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"])
             np.add.at(sizes, [i - lo for i, _ in pieces[a:b]], n)
-        h, e = np.concatenate(hidden).astype(float), np.concatenate(gates).astype(float)
+        h, e = np.concatenate(hidden), np.concatenate(gates)
         starts, owner = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(hi - lo), sizes)
         e = np.exp(e - np.maximum.reduceat(e, starts)[owner])
         z = np.add.reduceat((e / np.add.reduceat(e, starts)[owner])[:, None] * h, starts)
         out[lo:hi] = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"] + model["shift"], -30, 30)))
-    return out
+    return np.round(out, 6)
 
 
-def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
-    """All columns of ``docs`` but its text are kept; ``out`` is added."""
+def scorer(docs: DataFrame, model: dict) -> Column:
+    """The score of the text column; only texts go to Python, and only scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("_data")
-            column = pa.array(score_texts(batch.column(at).to_pylist(), shared.value))
-            kept = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), column], names=[*(batch.schema.names[i] for i in kept), out])
+    @F.arrow_udf("double")
+    @releasing
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [score_texts(texts, shared.value) for _, texts in slices(column, PIECE)]
+            yield pa.array(np.concatenate([np.empty(0), *parts]))
 
-    rows = docs.withColumn("_data", F.col("text").cast("binary")).drop("text")
-    schema = rows.drop("_data").schema.add(out, "double")
-    return rows.mapInArrow(run, schema)
+    return run(F.col("text").cast("binary"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     open_labels = labels.select("doc_id", "quality").where(fold_of("doc_id", folds) != held_fold)
     model = fit(docs.select("doc_id", "text"), open_labels)
-    rows = docs.select("doc_id", "text", F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False)).alias("held_out"))
-    return score(rows, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select("doc_id", F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False)).alias("held_out"), scorer(docs, model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **folds) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
     open_labels = labels.select("doc_id", "quality").where(fold_of("doc_id", folds.get("folds", 4)) != folds.get("held_fold", 2))
     model = fit(docs.select("doc_id", "text"), open_labels)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(whole, model).where(F.col("score") >= threshold).select("row.*")
+    return docs.where(scorer(docs, model) >= threshold)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, small_batches
 from .decontaminate import contamination
 from .langid import identify_languages
 from .licenses import scan_licenses
@@ -59,5 +60,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def _small(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quotation_linking, op2_embedding_dedup, op3_language_id, op4_license_scan, op5_weighted_minhash, op6_decontamination, op7_quality_mil, op8_source_mixing, op9_substring_dedup, op10_secret_scan)}
+    return {f.__name__: _small(f) for f in (op1_quotation_linking, op2_embedding_dedup, op3_language_id, op4_license_scan, op5_weighted_minhash, op6_decontamination, op7_quality_mil, op8_source_mixing, op9_substring_dedup, op10_secret_scan)}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, salted_lookup
+from .common import durable, lookup
 
 MIN_WORDS = 3
 MIN_SIGNS = 6
@@ -113,8 +113,8 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     spots = here.where("not _short").select("hash", F.struct(F.col("conv_id").alias("c"), F.col("here_turn").alias("t")).alias("spot"))
     first = spots.groupBy("hash").agg(F.min("spot").alias("first"))
     second = spots.join(first, "hash").where("spot <> first").groupBy("hash").agg(F.min("spot").alias("second"))
-    linked = salted_lookup(asked, here.drop("_short"), ["conv_id", "hash"])
-    linked = salted_lookup(linked, first.join(second, "hash", "left"), ["hash"])
+    linked = lookup(asked, here.drop("_short"), ["conv_id", "hash"])
+    linked = lookup(linked, first.join(second, "hash", "left"), ["hash"])
     inside = F.col("here_turn") < F.col("turn")
     other = F.when(~F.col("first.c").eqNullSafe(F.col("conv_id")), F.col("first")).otherwise(F.col("second"))
     spot = F.when(inside, F.struct(F.col("conv_id").alias("c"), F.col("here_turn").alias("t"))).otherwise(other)
@@ -126,7 +126,7 @@ def _threads(messages: DataFrame) -> DataFrame:
     now = durable(messages.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("done")))
     while now.where(~F.col("done")).limit(1).count():
         steps = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
-        moved = salted_lookup(now.where(~F.col("done")), steps, ["conv_id", "up"])
+        moved = now.where(~F.col("done")).join(steps, ["conv_id", "up"], "left")
         moved = moved.select("conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("ends", F.lit(True)).alias("done"))
         now = durable(now.where("done").unionByName(moved))
     return now.select("conv_id", "turn", F.col("up").alias("thread_turn"), "depth")
@@ -146,7 +146,7 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     table = related.join(_threads(related), ["conv_id", "turn"]).join(
         links.groupBy("conv_id", "turn").agg(F.count("from_turn").alias("n_linked")), ["conv_id", "turn"], "left"
     )
-    out = salted_lookup(parsed.drop("said"), table, ["conv_id", "turn"])
+    out = lookup(parsed.drop("said"), table, ["conv_id", "turn"])
     return out.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), "n_quoted_lines", F.size("quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce(F.array_max(F.transform("quoted", lambda q: q["level"])), F.lit(0)).alias("max_level"),

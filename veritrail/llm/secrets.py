@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import durable, salted_lookup
+from .common import durable, lookup, releasing, rewritten, slices
 
 WIDE_OWNERS = 3
 #: Base kinds in their order, then the looser ones.
@@ -51,8 +52,7 @@ _PLACEHOLDER = re.compile(
 )
 _HEXMAP = bytes(120 if chr(b) in "0123456789abcdef" and b < 128 else 32 for b in range(256))
 _LONGMAP = bytes(120 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-") else 32 for b in range(256))
-#: A text without any match of this has no candidate of any kind.
-MAYBE = r"(?i)password|passwd|secret|token|api_?key|AKIA|gh[pousr]_|eyJ|-----BEGIN|xox[abprs]-|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{32}"
+CHUNK = 1 << 20
 
 
 def _bits(value: bytes) -> float:
@@ -92,34 +92,35 @@ def _points(text: bytes, offsets: list[int]) -> dict[int, int]:
     return out
 
 
-_FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:binary,base:boolean,sham:boolean>>"
+_FOUND = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("hash", "binary").add("base", "boolean").add("sham", "boolean"))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary()), ("base", pa.bool_()), ("sham", pa.bool_())]))
-    for batch in batches:
-        at = batch.schema.get_field_index("_data")
-        rows = []
-        for value in batch.column(at):
-            text = value.as_py()
-            found = find_candidates(text)
-            if not found:
-                rows.append([])
-                continue
-            points = _points(text, [o for a, b, _, _ in found for o in (a, b)])
-            rows.append([
-                {"kind": k, "start": points[a], "end": points[b], "hash": hashlib.sha256(v).digest()[:16], "base": k in BASE, "sham": bool(_PLACEHOLDER.fullmatch(v)) and k != "hex"}
-                for a, b, k, v in found
-            ])
-        kept = [i for i in range(batch.num_columns) if i != at]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(rows, shape)], names=[*(batch.schema.names[i] for i in kept), "found"])
+_SHAPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary()), ("base", pa.bool_()), ("sham", pa.bool_())]))
+
+
+def _hash(value: bytes) -> bytes:
+    return hashlib.sha256(value).digest()[:16]
+
+
+def _described(text: bytes | None) -> list[dict]:
+    found = find_candidates(text)
+    if not found:
+        return []
+    points = _points(text, [o for a, b, _, _ in found for o in (a, b)])
+    return [{"kind": k, "start": points[a], "end": points[b], "hash": _hash(v), "base": k in BASE, "sham": bool(_PLACEHOLDER.fullmatch(v)) and k != "hex"} for a, b, k, v in found]
+
+
+@F.arrow_udf(_FOUND)
+@releasing
+def _extract(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in columns:
+        yield pa.array([_described(text) for _, texts in slices(column, CHUNK) for text in texts], _SHAPE)
 
 
 def candidates(docs: DataFrame, repo: str, owner: str) -> DataFrame:
-    """doc_id, _repo, _owner, found (the candidates) of every row."""
-    rows = docs.select("doc_id", F.col(repo).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"), F.col("text").cast("binary").alias("_data"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_extract, f"doc_id {kind}, _repo string, _owner string, found {_FOUND}")
+    """doc_id, _repo, _owner, found (the candidates) of every row; texts alone go to Python."""
+    found = _extract(F.col("text").cast("binary"))
+    return docs.select("doc_id", F.col(repo).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"), found.alias("found"))
 
 
 def ownership(found: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
@@ -142,7 +143,7 @@ def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", w
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example of every row."""
     found = durable(candidates(docs, repo, owner).withColumn("_row", F.monotonically_increasing_id()))
     some = found.where(F.size("found") > 0).select("_row", F.posexplode("found").alias("at", "f")).select("_row", "at", "f", F.col("f.hash").alias("hash"))
-    judged = salted_lookup(some, ownership(found, wide_owners).select("hash", "wide"), ["hash"])
+    judged = lookup(some, ownership(found, wide_owners).select("hash", "wide"), ["hash"])
     judged = judged.withColumn("live", ~F.col("wide") & ~F.col("f.sham"))
     shown = F.struct("at", F.col("f.kind").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"))
     lists = judged.groupBy("_row").agg(
@@ -162,36 +163,37 @@ def _of(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def _redacted(text: bytes, live: set[bytes]) -> bytes:
+    out, last = [], 0
+    for a, b, kind, value in find_candidates(text):
+        if _hash(value) in live and b > last:
+            out += [text[last : max(a, last)], f"[{kind}]".encode() if a >= last else b""]
+            last = b
+    return b"".join([*out, text[last:]])
+
+
+@F.arrow_udf(T.BinaryType())
+@releasing
+def _redact(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for column, live in columns:
+        parts = []
+        for at, texts in slices(column, CHUNK):
+            parts += [None if text is None else _redacted(text, set(live[at + i].as_py() or ())) for i, text in enumerate(texts)]
+        yield pa.array(parts, pa.binary())
+
+
 def redact_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """The rows and columns of ``docs``; live values are replaced by ``[kind]`` (n_chars follows).
 
-    Only rows that may hold a candidate are shuffled with their text.
+    Only rows with a candidate are shuffled with their text, and only those with a live
+    one go to Python again.
     """
-    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    suspects = docs.where(maybe)
-    found = durable(candidates(suspects, repo, owner))
+    found = durable(candidates(docs, repo, owner).where(F.size("found") > 0))
     flat = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.hash", "f.sham").distinct()
-    live = salted_lookup(flat, ownership(found, wide_owners).select("hash", "wide"), ["hash"]).where(~F.col("wide") & ~F.col("sham"))
+    live = lookup(flat, ownership(found, wide_owners).select("hash", "wide"), ["hash"]).where(~F.col("wide") & ~F.col("sham"))
     by_doc = live.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("hash").alias("_live"))
-    kept = [c for c in docs.columns if c != "text"]
-    rows = suspects.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("_doc"), F.col("text").cast("binary").alias("_data"))
-    rows = rows.join(by_doc, F.col("_doc").eqNullSafe(F.col("_id")), "left").select("row", "_data", "_live")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, live_ in zip(batch.column("_data"), batch.column("_live"), strict=True):
-                text, wanted, out, last = text.as_py(), set(live_.as_py() or ()), [], 0
-                for a, b, kind, value in find_candidates(text) if wanted else ():
-                    if hashlib.sha256(value).digest()[:16] in wanted and b > last:
-                        out += [text[last : max(a, last)], f"[{kind}]".encode() if a >= last else b""]
-                        last = b
-                texts.append(b"".join([*out, text[last:]]) if out else text)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], names=["row", "_data"])
-
-    out = rows.mapInArrow(clean, rows.drop("_live").schema).select("row", F.col("_data").cast("string").alias("text"))
-    columns = {c: F.col("row")[c] for c in kept} | {"text": F.col("text")}
-    if "n_chars" in kept:
-        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    cleaned = out.select(*[columns[c].alias(c) for c in docs.columns])
-    return docs.where(~maybe).unionByName(cleaned)
+    holds = F.size(_extract(F.col("text").cast("binary"))) > 0
+    rows = docs.where(holds).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"))
+    rows = rows.join(by_doc, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    rows = rows.select("row", _redact(F.when(F.col("_live").isNotNull(), F.col("row.text").cast("binary")), F.col("_live")).alias("_new"))
+    return docs.where(~holds).unionByName(rows.select(*rewritten(docs, F.col("row"), F.coalesce(F.col("_new").cast("string"), F.col("row.text")))))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, mix64, salted_lookup
+from .common import lookup, mix64, releasing, slices
 from .words import WHITESPACE, positions_in, shingles, word_hashes
 
 LENGTH = 20
@@ -190,25 +190,26 @@ def _anchor_blocks(buckets: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            data = batch.column("data").to_pylist()
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
-            for lo, hi in batches_of_bytes(data, CHUNK):
-                words, counts = word_hashes([x or b"" for x in data[lo:hi]], WHITESPACE)
+            for lo, data in slices(batch.column("data"), CHUNK):
+                hi = lo + len(data)
+                words, counts = word_hashes([x or b"" for x in data], WHITESPACE)
                 doc, pos = positions_in(counts)
                 anchors = shingles(words, ANCHOR)
                 at = np.flatnonzero(cover[pos[: len(anchors)] % PERIOD] & (pos[: len(anchors)] + ANCHOR <= counts[doc[: len(anchors)]]) & (counts[doc[: len(anchors)]] >= LENGTH))
                 yield from _deal(ids[lo:hi], keys[lo:hi], doc[at], pos[at], anchors[at], None, buckets, keep_first=False)
 
-    return lambda batches: _blocks(rows(batches))
+    return releasing(lambda batches: _blocks(rows(batches)))
 
 
 def _window_blocks(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            data, marks = batch.column("data").to_pylist(), batch.column("starts")
+            marks = batch.column("starts")
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
-            for lo, hi in batches_of_bytes(data, CHUNK):
-                words, counts = word_hashes([x or b"" for x in data[lo:hi]], WHITESPACE)
+            for lo, data in slices(batch.column("data"), CHUNK):
+                hi = lo + len(data)
+                words, counts = word_hashes([x or b"" for x in data], WHITESPACE)
                 doc, pos = positions_in(counts)
                 first = np.cumsum(counts) - counts
                 # a window is open if an anchor starts at most PERIOD - 1 words behind its start
@@ -223,7 +224,7 @@ def _window_blocks(buckets: int):
                     hashes, checks = shingles(words, LENGTH)[at], (shingles(words, LENGTH, seed=1)[at] >> np.uint64(32)).astype(np.uint32)
                     yield from _deal(ids[lo:hi], keys[lo:hi], doc[at], pos[at], hashes, checks, buckets, keep_first=True)
 
-    return lambda batches: _blocks(rows(batches))
+    return releasing(lambda batches: _blocks(rows(batches)))
 
 
 def covered(n: int, starts: bytes) -> np.ndarray:
@@ -248,7 +249,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("key"), F.md5(F.col("text").cast("binary")).alias("same"))
     firsts = texts.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = salted_lookup(texts, firsts, ["same"]).where("id > first").select("id", "key").distinct()
+    copies = lookup(texts, firsts, ["same"]).where("id > first").select("id", "key").distinct()
 
     own = rows.join(copies.withColumn("copy", F.lit(True)), ["id", "key"], "left").where("copy is null").select("id", "key", "data")
     blocks = own.mapInArrow(_anchor_blocks(buckets), _BLOCK)
@@ -265,6 +266,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     rows, lost = repeated_windows(docs)
 
+    @releasing
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests = [], [], []

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import durable, salted_lookup, sample_share
+from .common import durable, lookup, sample_share
 
 THRESHOLD = 0.95
 PROBE_SIGMAS = 3.0
@@ -170,9 +170,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sigmas: fl
     roots = components(found.where("cid <> other"), "cid", "other")
     named = classes.select("cid", "same", "least", "n").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = salted_lookup(named.select("cid", "root", "same", "n", "links"), least, ["root"])
+    named = lookup(named.select("cid", "root", "same", "n", "links"), least, ["root"])
     table = named.select("same", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.col("n").alias("class_size"))
-    out = salted_lookup(keyed.select("vec_id", "same"), table, ["same"])
+    out = keyed.select("vec_id", "same").join(table, "same", "left")
     component = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast(kind)
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
