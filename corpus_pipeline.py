@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm.common import durable, read_table
+from veritrail.llm.common import durable, read_table, small_batches
 from veritrail.llm.decontaminate import decontaminate
 from veritrail.llm.minhash import drop_near_duplicates
 from veritrail.llm.mixing import mix_sources, write_order
@@ -18,21 +18,25 @@ from veritrail.llm.secrets import redact_secrets
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go; stray windows are cut out of the others."""
+    small_batches(spark)
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are replaced by their kind."""
+    small_batches(spark)
     return redact_secrets(docs)
 
 
