@@ -73,25 +73,23 @@ def belief_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.subtract(then)
 
 
-_INSTANTS = (
-    ("a", "2024-01-01", None, "2024-01-01T00:00:00Z"),
-    ("b", "", None, "2024-01-01"),
-    ("c", "2024-02-30", None, "2024-01-01"),
-    ("d", "2024-02-01T10:00:00", None, "2024-01-01"),
-    ("e", "2024-05-01", "2024-04-01", "2024-01-01"),
-    ("f", "2026-02-29", "2026-13-45T00:00:00Z", "not-a-date"),
-    ("g", "2024-02-29T23:59:59+02:00", "2024-03-01T00:00:00Z", "2024-01-01"),
-    ("h", "2024-01-01 10:00:00Z", None, "2024-01-01T24:00:00Z"),
-)
+_STATED = """CASE k WHEN 1 THEN '' WHEN 2 THEN {day} || 'T10:00:00' WHEN 4 THEN '2024-02-30' WHEN 5 THEN {day} || 'T23:59:59+02:00' WHEN 6 THEN {day} || ' 10:00:00Z' ELSE {day} END AS valid_from,
+  CASE k WHEN 3 THEN {before} WHEN 6 THEN '2026-13-45T00:00:00Z' END AS valid_until, CASE k WHEN 7 THEN 'not-a-date' ELSE {day} END AS recorded_at"""
 
 
 @query(
-    "SELECT * FROM (VALUES ('b','validFrom','malformed_temporal_value',''), ('c','validFrom','malformed_temporal_value','2024-02-30'), ('d','validFrom','ambiguous_timezone','2024-02-01T10:00:00'),"
-    " ('e','window','inverted_window','2024-05-01/2024-04-01'), ('f','recordedAt','malformed_temporal_value','not-a-date'), ('f','validFrom','malformed_temporal_value','2026-02-29'),"
-    " ('f','validUntil','malformed_temporal_value','2026-13-45T00:00:00Z'), ('h','validFrom','malformed_temporal_value','2024-01-01 10:00:00Z')) v(id, field, reason, value)"
+    "WITH stated AS (SELECT 'o:' || o_orderkey AS id, "
+    + _STATED.replace("{day}", "strftime(o_orderdate, '%Y-%m-%d')").replace("{before}", "strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d')")
+    + ", k FROM (SELECT *, o_orderkey % 8 AS k FROM orders)) SELECT id, 'validFrom' AS field, 'malformed_temporal_value' AS reason, valid_from AS value FROM stated WHERE k IN (1, 4, 6)"
+    " UNION ALL SELECT id, 'validFrom', 'ambiguous_timezone', valid_from FROM stated WHERE k = 2 UNION ALL SELECT id, 'window', 'inverted_window', valid_from || '/' || valid_until FROM stated WHERE k = 3"
+    " UNION ALL SELECT id, 'validUntil', 'malformed_temporal_value', valid_until FROM stated WHERE k = 6 UNION ALL SELECT id, 'recordedAt', 'malformed_temporal_value', recorded_at FROM stated WHERE k = 7"
 )
 def temporal_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_INSTANTS, "id string, valid_from string, valid_until string, recorded_at string")
+    """Orders whose instants are stated in eight ways, most of them wrong."""
+    parts_ = [x.strip() for x in _STATED.replace("{day}", "date_format(o_orderdate, 'yyyy-MM-dd')").replace("{before}", "date_format(o_orderdate - interval 1 day, 'yyyy-MM-dd')").split("AS valid_from,")]
+    valid_from, (valid_until, recorded_at) = parts_[0], parts_[1].split("AS valid_until,")
+    orders = star.table(spark, sf_dir, "orders").selectExpr("*", "o_orderkey % 8 AS k")
+    rows = orders.selectExpr("'o:' || o_orderkey AS id", f"{valid_from} AS valid_from", f"{valid_until} AS valid_until", recorded_at)
     none = rows.limit(0).selectExpr("*", "id as source", "id as target")
     return temporal.state_at(rows, none, "2024-03-01", raw=True).rejected.drop("kind")
 
@@ -790,28 +788,38 @@ def acronyms_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # evidence
 
-_SPANS = (
-    ("1", "a", 0.0, 3.0), ("2", "a", 4.0, 6.0), ("3", "a", 2.0, 2.0), ("4", "nowhere", 0.0, 1.0), ("5", "gone", 0.0, 1.0), ("6", "mute", 0.0, 1.0),
-    ("7", "a", 0.5, 1.0), ("8", "a", 3.0, 1.0), ("9", "a", -1.0, 2.0), ("10", "a", 0.0, 99.0),
-)
+_SPANS = "CASE k WHEN 4 THEN 0.5 WHEN 5 THEN 5 WHEN 7 THEN -1 WHEN 8 THEN 2 ELSE 0 END"
+_SPAN_ENDS = "CASE k WHEN 5 THEN 2 WHEN 6 THEN 9999 WHEN 8 THEN 2 ELSE 4 END"
 
 
 @query(
-    "SELECT * FROM (VALUES ('1', 'the', NULL), ('2', '👍', NULL), ('3', '', NULL), ('4', NULL, 'source_not_found'), ('5', NULL, 'source_purged'), ('6', NULL, 'source_has_no_text'), ('7', NULL, 'span_not_integral'),"
-    " ('8', NULL, 'span_inverted'), ('9', NULL, 'span_out_of_bounds'), ('10', NULL, 'span_out_of_bounds')) v(id, quote, reason)"
+    _with(_SAID)
+    + """ SELECT source AS id, CASE n WHEN 0 THEN substr(text, 1, 4) WHEN 8 THEN '' END AS quote,
+  CASE n WHEN 1 THEN 'source_not_found' WHEN 2 THEN 'source_purged' WHEN 3 THEN 'source_has_no_text' WHEN 4 THEN 'span_not_integral' WHEN 5 THEN 'span_inverted' WHEN 6 THEN 'span_out_of_bounds' WHEN 7 THEN 'span_out_of_bounds' END AS reason
+FROM (SELECT *, substr(source, 3)::BIGINT % 9 AS n FROM said)"""
 )
 def span_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = spark.createDataFrame(_SPANS, "id string, source string, start double, end double")
-    sources = spark.createDataFrame([("a", "the 👍 deploy", False), ("gone", None, True), ("mute", None, False)], "id string, text string, purged boolean")
+    """A span of each part's sentence, sound or wrong in one of seven ways."""
+    rows = _sentences(spark, sf_dir).withColumn("k", F.expr("cast(substring(id, 3) as bigint) % 9"))
+    spans = rows.selectExpr("id", "IF(k = 1, 'nowhere:' || id, id) AS source", f"cast({_SPANS} as double) AS start", f"cast({_SPAN_ENDS} as double) AS end")
+    sources = rows.select("id", F.when(~F.col("k").isin(2, 3), F.col("text")).alias("text"), (F.col("k") == 2).alias("purged"))
     return extract.resolve_spans(spans, sources).select("id", "quote", "reason")
 
 
-@query(_with(_SAID) + " SELECT source, text AS quote FROM said WHERE k = 0")
+@query("SELECT key, quote FROM (VALUES (1, '👍'), (2, ' d'), (3, 'e\u0301')) v(key, quote)".replace("\\u0301", "\u0301"))
+def span_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets count UTF-16 units: signs beyond the basic plane are two."""
+    spans = spark.createDataFrame([(1, "a", 4.0, 6.0), (2, "a", 6.0, 8.0), (3, "a", 11.0, 13.0)], "key int, source string, start double, end double")
+    sources = spark.createDataFrame([("a", "the 👍 deple\u0301y", False)], "id string, text string, purged boolean")
+    return extract.resolve_spans(spans, sources).select("key", "quote")
+
+
+@query(_with(_SAID) + " SELECT source, substr(text, strpos(text, '#') + 1) AS quote FROM said WHERE k IN (0, 1, 3, 4)")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every asserted relation rests on, read back through its span."""
     texts = _sentences(spark, sf_dir)
     found, _ = extract.relations(texts)
-    spans = found.where("rule = 'caused-direct' and predicate = 'CAUSED'").where(F.expr("cast(substring(source, 3) as bigint) % 6 = 0"))
-    spans = spans.select("source", F.lit(0.0).alias("start"), F.col("trigger.end").cast("double").alias("end"))
+    spans = found.select("source", F.col("trigger.start").cast("double").alias("start"), F.col("trigger.end").cast("double").alias("end"))
     return extract.resolve_spans(spans, texts.withColumn("purged", F.lit(False))).select("source", "quote")
 
 
