@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import EngineError
+from .sources import workspace
 from .store import Store
 
 
@@ -22,8 +24,9 @@ def _show(df: DataFrame, limit: int = 1000) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="veritrail")
-    top.add_argument("--store", required=True)
-    top.add_argument("--workspace", required=True)
+    top.add_argument("--store", help="a folder; that of the workspace found from --start or the environment where it is left out")
+    top.add_argument("--workspace", help="its name; the folder's where it is left out")
+    top.add_argument("--start", help="where to begin looking for a workspace")
     verbs = top.add_subparsers(dest="verb", required=True)
 
     def verb(name: str, *args: str, **flags) -> None:
@@ -54,7 +57,8 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
-    s = Store(spark, a.store, a.workspace)
+    found = workspace.resolve(os.environ, a.start) if a.store is None or a.workspace is None else None
+    s = Store(spark, a.store or str(workspace.prepare(found)), a.workspace or found.root.name)
     if a.verb == "record":
         s.append([{"kind": a.kind, "id": a.id, "content": json.loads(a.content), "meta": {"validFrom": a.valid_from, "validUntil": a.valid_until}}])
     elif a.verb == "link":

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import block_keys, jaccard, trigrams
 from ..schema import SUGGEST_MIN_SCORE, WEIGHT_NAME, WEIGHT_PROPS, WEIGHT_TYPE
+from ..session import durable
 from .components import components
 
+#: Edges of a component that one task takes.
+TASK_EDGES = 200_000
+
 
 def keyed(records: DataFrame, type_scoped: bool = False, phonetic: bool = False) -> DataFrame:
     """id, key: one row per blocking key.  ``records``: id, name, type."""
@@ -92,23 +96,49 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[keep].drop(columns="_k")
 
 
-def cluster(ids: DataFrame, pairs: DataFrame, min_score: float = SUGGEST_MIN_SCORE, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+def _grown_forest(edges: DataFrame) -> DataFrame:
+    """The maximum spanning forest of edges (a, b, score, cluster) of any size, by Boruvka's rounds.
+
+    In each round every part of a component takes the strongest edge that leaves it; parts so
+    joined are one in the next.  Edges are ordered by score and key without ties, so there are no cycles.
+    """
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    parts = durable(ends.select("node", F.col("node").alias("part")))
+    kept = None
+    while True:
+        sided = edges.join(parts.select(F.col("node").alias("a"), F.col("part").alias("_x")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("_y")), "b")
+        leaving = durable(sided.where("_x <> _y").select("a", "b", "score", "cluster", "_x", "_y"))
+        if leaving.isEmpty():
+            return kept
+        either = leaving.select("*", F.col("_x").alias("_p")).unionByName(leaving.select("*", F.col("_y").alias("_p")))
+        best = either.groupBy("_p").agg(F.min_by(F.struct("a", "b", "score", "cluster", "_x", "_y"), F.struct(-F.col("score"), _key())).alias("e"))
+        chosen = durable(best.select("e.*").distinct())
+        kept = chosen.select("a", "b", "score", "cluster") if kept is None else kept.unionByName(chosen.select("a", "b", "score", "cluster"))
+        joined = components(chosen, "_x", "_y").select(F.col("node").alias("part"), F.col("root").alias("_new"))
+        parts = durable(parts.join(joined, "part", "left").select("node", F.coalesce("_new", "part").alias("part")))
+
+
+def _key() -> Column:
+    return F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"))
+
+
+def cluster(ids: DataFrame, pairs: DataFrame, min_score: float = SUGGEST_MIN_SCORE, task_edges: int = TASK_EDGES) -> tuple[DataFrame, DataFrame]:
     """(membership: id, cluster; clusters: cluster, size, merges, weak_a, weak_b, weak_score).
 
     Components come first.  The weakest merging edge is the least of a maximum
-    spanning forest; edges of a component are first cut down to the forests of its
-    salted parts, which hold that of the whole, so one task never sees them all.
+    spanning forest: of a component of ``task_edges`` edges at most in one task each, of
+    larger ones in rounds over all their edges.
     """
     accepted = pairs.where(F.col("score") >= min_score).select("a", "b", "score")
     roots = components(accepted)
     members = ids.select("id").join(roots, ids["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("cluster"))
-    placed = accepted.join(roots.select(F.col("node").alias("a"), F.col("root").alias("cluster")), "a")
-    shape = placed.select("a", "b", "score", "cluster").schema
-    parts = placed.withColumn("_s", F.pmod(F.xxhash64("a", "b"), F.lit(salts))).groupBy("cluster", "_s")
-    thin = parts.applyInPandas(lambda pdf: _forest(pdf)[["a", "b", "score", "cluster"]], shape)
-    forest = thin.groupBy("cluster").applyInPandas(lambda pdf: _forest(pdf)[["a", "b", "score", "cluster"]], shape)
-    key = F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"))
-    weak = forest.groupBy("cluster").agg(F.count("*").alias("merges"), F.min_by(F.struct("a", "b", "score"), F.struct("score", key)).alias("w"))
+    placed = accepted.join(roots.select(F.col("node").alias("a"), F.col("root").alias("cluster")), "a").select("a", "b", "score", "cluster")
+    large = durable(placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > task_edges).select("cluster"))
+    forest = placed.join(large, "cluster", "left_anti").select("a", "b", "score", "cluster")
+    forest = forest.groupBy("cluster").applyInPandas(lambda pdf: _forest(pdf)[["a", "b", "score", "cluster"]], placed.schema)
+    if not large.isEmpty():
+        forest = forest.unionByName(_grown_forest(durable(placed.join(large, "cluster", "left_semi").select("a", "b", "score", "cluster"))))
+    weak = forest.groupBy("cluster").agg(F.count("*").alias("merges"), F.min_by(F.struct("a", "b", "score"), F.struct("score", _key())).alias("w"))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size")).join(weak, "cluster", "left")
     return members, sizes.select("cluster", "size", F.coalesce("merges", F.lit(0)).alias("merges"), F.col("w.a").alias("weak_a"), F.col("w.b").alias("weak_b"), F.col("w.score").alias("weak_score"))
 
