@@ -17,12 +17,13 @@ No row is dropped: sources last until their own end, and ``within`` tells whethe
 slot lies before the first slot at which some source had run out.
 
 Ranks inside a source come from hash buckets of bounded size (counts per bucket,
-running offsets, ranks inside a bucket), so a source of any size is spread out.
+running offsets, ranks inside a bucket), so a source of any size is spread out.  A bucket
+that is far too large, as rows of one id make it, is split by a hash of the whole row.
 
 Defined cases
     null sources are a source of their own; sources without a given weight, or with
     weight 0, get one slot of each period (of their group); repeated rows are kept and placed one by one,
-    rows of equal id in the order of a hash of their text; null ids come first;
+    rows of equal id in the order of a hash of their columns; null ids are ordered as an empty id;
     an empty table gives an empty result; other columns stay as they are, but those named
     as one of ``ADDED`` give way.
 """
@@ -164,11 +165,15 @@ def _ranked(keyed: DataFrame, total: int, block_rows: int, bucket_rows: int) ->
     """``keyed`` with the place of each row in its source, as _block and _in_block."""
     buckets = max(1, -(-total // bucket_rows))
     keyed = keyed.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
-    sized = keyed.groupBy("_src", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sized.select("_src", "_bucket", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_order", "row.doc_id", "_tie")) - 1
-    ranked = keyed.withColumn("_inside", inside).join(offsets.hint("shuffle_merge"), ["_src", "_bucket"])
+    # far too large ones: a thousandth of all rows each, so 1,024 of them at most, and none where ids are distinct
+    large = keyed.groupBy("_src", "_bucket").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= max(8 * bucket_rows, total // 1024))
+    large = large.select("_src", "_bucket", F.ceil(F.col("_rows") / bucket_rows).alias("_parts"))
+    keyed = keyed.join(F.broadcast(large), ["_src", "_bucket"], "left").withColumn("_sub", F.coalesce(F.pmod("_tie", "_parts"), F.lit(0)))
+    sized = keyed.groupBy("_src", "_bucket", "_sub").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sized.select("_src", "_bucket", "_sub", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_src", "_bucket", "_sub").orderBy("_order", "row.doc_id", "_tie")) - 1
+    ranked = keyed.withColumn("_inside", inside).join(offsets.hint("shuffle_merge"), ["_src", "_bucket", "_sub"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_inside"))
     return ranked.withColumns({"_block": F.expr(f"_rank div {block_rows}"), "_in_block": F.expr(f"_rank % {block_rows}")})
 
@@ -180,7 +185,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     the square root of its number of rows.  Order by (slot, in_block) to read the mix.
     """
     spark = docs.sparkSession
-    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    tie = F.xxhash64(*docs.columns)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_src"), _order_hash().alias("_order"), tie.alias("_tie"))
     counts = {r["_src"]: r["n"] for r in keyed.groupBy("_src").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -213,11 +218,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
 
 
 def write_order(mixed: DataFrame, rows_per_part: int = 50_000) -> DataFrame:
-    """The mix dealt by runs of slots and sorted inside each part."""
-    top = mixed.agg(F.max("slot").alias("top"), F.count("*").alias("n")).first()
-    parts = max(1, -(-(top["n"] or 0) // rows_per_part))
-    run = F.floor(F.col("slot") * parts / F.lit((top["top"] or 0) + 1))
-    return mixed.withColumn("_run", run).repartition("_run").sortWithinPartitions("slot", "in_block").drop("_run")
+    """The mix dealt by ranges of slots, in order from part to part and inside each."""
+    parts = max(1, -(-mixed.count() // rows_per_part))
+    return mixed.repartitionByRange(parts, "slot").sortWithinPartitions("slot", "in_block")
 
 
 ORACLE = f"""
@@ -243,7 +246,7 @@ gap AS (
   FROM quota JOIN sched USING (ix) WHERE k = ((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS}) % slots),
 ranked AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS src,
-    row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM documents),
+    row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS rank FROM documents),
 blocks AS (SELECT doc_id, source, src, rank // {BLOCK_ROWS} AS block, rank % {BLOCK_ROWS} AS in_block FROM ranked)
 SELECT doc_id, source, block::BIGINT AS block, ((block * q) // slots)::BIGINT AS release, (((block + 1) * q + slots - 1) // slots)::BIGINT AS deadline,
   ((block // slots) * q + slot)::BIGINT AS slot, in_block::BIGINT AS in_block, ((block // slots) * q + slot) < gap AS within
