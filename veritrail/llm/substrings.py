@@ -20,7 +20,7 @@ Rows whose whole text is that of a smaller doc_id are covered by windows from en
 to end, so they need no anchors of their own.
 
 Defined cases
-    null and empty texts have no words (sha256 of the empty string); texts of fewer
+    doc_id is a whole number; null and empty texts have no words (sha256 of the empty string); texts of fewer
     than ``LENGTH`` words lose nothing; an occurrence is (doc_id, start), so rows
     that repeat a doc_id and text are the same occurrences and give equal rows; a
     null doc_id counts as smaller than any other; texts of any length are read
