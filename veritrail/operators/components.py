@@ -15,6 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("u", "v").alias("n"), F.least("u", "v").alias("o"))
     least = around.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
+    if large:  # written, so that the join shuffles both sides and the neighbours of a hot centre can be split
+        least = durable(least)
     moved = around.join(least, "n")
     if large:
         out = moved.where("o > n").select(F.col("o").alias("u"), F.col("m").alias("v"))
