@@ -35,7 +35,9 @@ from .common import durable, releasing, rewritten, slices
 
 WINDOW = 8
 CHUNK = 1 << 20
-BLOCK_WINDOWS = 100_000
+BLOCK_WINDOWS = 1_000_000
+#: Pairs of a place in a text and a window that are compared at once.
+PAIRS = 1 << 20
 _LOWER = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _RUN = re.compile(rb"[^ ]+")
 
@@ -52,29 +54,56 @@ def windows_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
 
 
 def build_index(items: Iterable[tuple[str, bytes]], rarity: dict[bytes, int]) -> dict:
-    """prefix: rarest word -> [(its offset, window)]; holders: window -> [(item, its number of windows)]."""
+    """The windows of some items as arrays: word numbers, lengths, where the rarest word of each stands, windows in the order of
+    that word with the range of every word, items by window, and how many windows each item has."""
     windows_by_item: dict[str, set] = defaultdict(set)
     for item, text in items:
         windows_by_item[item].update(windows_of(words_of(text)))
-    prefix, holders = defaultdict(list), defaultdict(list)
-    for item in sorted(windows_by_item):
+    names, at, holders = sorted(windows_by_item), {}, []
+    for k, item in enumerate(names):
         for window in windows_by_item[item]:
-            if window not in holders:
-                at = min(range(len(window)), key=lambda i: (rarity.get(window[i], 0), window[i], i))
-                prefix[window[at]].append((at, window))
-            holders[window].append((item, len(windows_by_item[item])))
-    return {"prefix": dict(prefix), "holders": dict(holders)}
-
-
-def find_windows(words: list[bytes], index: dict) -> list[tuple[int, tuple]]:
-    """(start, window) of every occurrence."""
-    prefix, found, n = index["prefix"], [], len(words)
-    for i in [i for i, w in enumerate(words) if w in prefix]:
-        for at, window in prefix[words[i]]:
-            start = i - at
-            if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
-                found.append((start, window))
-    return found
+            holders.append((at.setdefault(window, len(at)), k))
+    number = {w: i for i, w in enumerate(sorted({w for window in at for w in window}))}
+    rank = sorted(number, key=lambda w: (rarity.get(w, 0), w))
+    place = np.empty(len(rank), np.int64)
+    place[[number[w] for w in rank]] = np.arange(len(rank))
+    words = np.full((len(at), WINDOW), -1, np.int32)
+    for window, i in at.items():
+        words[i, : len(window)] = [number[w] for w in window]
+    order = np.where(words >= 0, place[words] if len(place) else words, len(rank))
+    rarest = order.argmin(axis=1) if len(at) else np.empty(0, np.int64)  # the first of equal ones
+    prefix = words[np.arange(len(at)), rarest]
+    by = np.argsort(prefix, kind="stable")
+    held = np.array(sorted(holders), np.int64).reshape(-1, 2)
+    return {
+        "number": number, "words": words[by], "size": (words[by] >= 0).sum(axis=1), "rarest": rarest[by], "range": np.searchsorted(prefix[by], np.arange(len(number) + 1)),
+        "names": names, "sizes": [len(windows_by_item[x]) for x in names], "items": held[:, 1], "held": np.searchsorted(held[:, 0], np.arange(len(at) + 1)), "window": by,
+    }
+
+
+def find_windows(words: list[bytes], index: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(start, row of the index) of every occurrence of a window."""
+    number = index["number"]
+    ids = np.fromiter((number.get(w, -1) for w in words), np.int32, len(words))
+    known = np.flatnonzero(ids >= 0)
+    low, high = index["range"][ids[known]], index["range"][ids[known] + 1]
+    known, low, n = known[high > low], low[high > low], (high - low)[high > low]
+    starts, rows = [], []
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(known):  # a bounded number of pairs of place and window at a time
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+        row = np.repeat(low[a:b] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b]) + np.arange(n[a:b].sum())
+        start = np.repeat(known[a:b], n[a:b]) - index["rarest"][row]
+        ok = (start >= 0) & (start + index["size"][row] <= len(words))
+        start, row = start[ok], row[ok]
+        for j in range(WINDOW):
+            same = (index["size"][row] <= j) | (ids[np.minimum(start + j, len(words) - 1)] == index["words"][row, j])
+            start, row = start[same], row[same]
+        starts.append(start)
+        rows.append(row)
+        a = b
+    return (np.concatenate(starts), np.concatenate(rows)) if starts else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -105,9 +134,9 @@ _SHAPE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa
 def _find(text: bytes | None, index: dict | None, earlier: list[dict], cutting: bool) -> dict:
     """What one text holds of one block, with what earlier passes have found in it."""
     words = words_of(text)
-    found = find_windows(words, index) if index else []
+    starts, rows = find_windows(words, index) if index else ([], [])
     out = {"n_words": len(words), "n_hit": 0, "items": [], "contained": [], "hits": None, "cut": None}
-    if not found and not earlier:
+    if not len(starts) and not earlier:
         return out
     hit = np.zeros(len(words) + 1, bool)
     items, contained = set(), set()
@@ -116,15 +145,15 @@ def _find(text: bytes | None, index: dict | None, earlier: list[dict], cutting:
         contained.update(before["contained"])
         for a, b in np.frombuffer(before["hits"], np.uint32).reshape(-1, 2):
             hit[a:b] = True
-    share: dict[str, list] = {}
-    for start, window in found:
-        hit[start : start + len(window)] = True
-    for window in {w for _, w in found}:
-        for item, n in index["holders"][window]:
-            share.setdefault(item, [0, n])[0] += 1
+    share: dict[int, int] = defaultdict(int)
+    for start, row in zip(starts, rows, strict=True):
+        hit[start : start + index["size"][row]] = True
+    for window in {index["window"][row] for row in rows}:
+        for item in index["items"][index["held"][window] : index["held"][window + 1]]:
+            share[int(item)] += 1
     spans = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8))).astype(np.uint32)
-    out |= {"n_hit": int(hit.sum()), "items": sorted({*items, *share}), "hits": spans.tobytes()}
-    out["contained"] = sorted({*contained, *(k for k, (got, n) in share.items() if 2 * got >= n)})
+    out |= {"n_hit": int(hit.sum()), "items": sorted({*items, *(index["names"][k] for k in share)}), "hits": spans.tobytes()}
+    out["contained"] = sorted({*contained, *(index["names"][k] for k, got in share.items() if 2 * got >= index["sizes"][k])})
     out["cut"] = cut(text, spans.reshape(-1, 2)) if cutting else None
     return out
 
