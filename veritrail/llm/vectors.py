@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import components
 from .common import durable, lookup, sample_share
@@ -92,8 +93,15 @@ def probes(x: np.ndarray, home: np.ndarray, model: dict, reach: float) -> np.nda
 
 
 def _unit(blobs: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), dim)
-    return raw, raw / np.sqrt((raw**2).sum(axis=1, keepdims=True))
+    joined = b"".join(blobs)  # in the width that the table has, floats or doubles
+    raw = np.frombuffer(joined, np.float32 if len(joined) == 4 * dim * len(blobs) else np.float64).reshape(len(blobs), dim).astype(np.float64)
+    return raw, _scaled(raw)
+
+
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows of unit length; by their largest component first, so that squares neither overflow nor vanish."""
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.sqrt((raw**2).sum(axis=1, keepdims=True))
 
 
 def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -150,7 +158,8 @@ def _compare(model: dict, dim: int, threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sigmas: float = PROBE_SIGMAS) -> DataFrame:
     """vec_id, n_links, component_id, kept, class_size of every row."""
-    cast = F.col("embedding").cast("array<double>")
+    narrow = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    cast = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
     finite = F.forall(cast, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(cast, lambda v: v != 0)
     marked = vectors.select("vec_id", cast.alias("v"), F.coalesce(finite, F.lit(False)).alias("ok"))
     keyed = marked.select("vec_id", "v", F.when(F.col("ok"), F.md5(F.col("v").cast("string").cast("binary"))).alias("same"))
@@ -188,7 +197,7 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float, sigmas: float
     if not len(sample):
         sample = classes.select("cid", "v").limit(TRAIN_ROWS).toPandas()
     x = np.array(sample["v"].tolist(), float).reshape(-1, dim)
-    model = fit(x / np.sqrt((x**2).sum(axis=1, keepdims=True)), n)
+    model = fit(_scaled(x), n)
     shared = sc.broadcast(model)
     reach = math.sqrt(2 - 2 * threshold) * min(1.0, sigmas / math.sqrt(dim)) + 1e-6
 
@@ -199,7 +208,7 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float, sigmas: float
             for at in range(0, batch.num_rows, 2048):
                 rows = batch.slice(at, 2048)
                 raw = np.ascontiguousarray(flat[at * dim : (at + rows.num_rows) * dim].reshape(-1, dim))
-                unit = raw / np.sqrt((raw**2).sum(axis=1, keepdims=True))
+                unit = _scaled(raw.astype(np.float64))
                 home = _nearest(unit, model["c"])
                 residual = unit - model["c"][home]
                 codes = np.stack([_nearest(residual[:, p], b) for p, b in zip(model["parts"], model["books"], strict=True)], axis=1)
