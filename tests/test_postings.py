@@ -3,6 +3,7 @@
 import pytest
 
 from veritrail.operators import postings, retrieval
+from veritrail.plans import queries as plans
 
 TEXTS = ["alpha beta gamma", "Alpha, alpha! beta-9 x", "gamma delta épsilon", "no shared words", "alpha beta", None, ""]
 
@@ -42,3 +43,22 @@ def test_a_floor_counts_what_it_cuts_off(tables):
     want = {q: (sum(r[0] == q for r in every), max(r[2] for r in every if r[0] == q)) for q in "abe"}
     assert {r["query_id"]: (r["considered"], r["top_score"]) for r in seen.collect()} == want
 
+
+def _written(spark, path):
+    head = "one two three four five six seven eigh"
+    texts = [f"{head}t nine", "one two three", f"and {head} nine", None, "filler"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'s' AS source").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, f"{head} more words"), (2, "one"), (3, "Ω")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_truth_is_what_the_sql_says(spark, tmp_path):
+    """A query may end inside a word of a document, or hold no inner word at all."""
+    db = pytest.importorskip("duckdb").connect()
+    path = _written(spark, tmp_path)
+    for name in ("documents", "benchmark"):
+        db.sql(f"create view {name} as select * from '{path}/{name}.parquet/*.parquet'")
+    want = db.sql(plans.oracle_sql()["retrieval_eval"]).df().sort_values("query_id").to_dict("records")
+    got = plans.queries()["retrieval_eval"](spark, path).toPandas().sort_values("query_id").to_dict("records")
+    assert got == want and [r["answerable"] for r in got] == [True, True, False]
+
