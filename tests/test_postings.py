@@ -62,3 +62,10 @@ def test_truth_is_what_the_sql_says(spark, tmp_path):
     got = plans.queries()["retrieval_eval"](spark, path).toPandas().sort_values("query_id").to_dict("records")
     assert got == want and [r["answerable"] for r in got] == [True, True, False]
 
+
+@pytest.mark.parametrize("name", ["rrf_sweep", "sweep_floor", "rrf_sweep_whole", "sweep_floor_whole"])
+def test_a_sweep_scores_documents_once(spark, tmp_path, monkeypatch, name):
+    scans = []
+    scan = postings._scan
+    monkeypatch.setattr(postings, "_scan", lambda *a: scans.append(1) or scan(*a))
+    assert plans.queries()[name](spark, _written(spark, tmp_path)).count() == 3 and len(scans) == 1
