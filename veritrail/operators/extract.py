@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +67,18 @@ def _units(text: str, at: int) -> int:
     return at + sum(ord(c) > 0xFFFF for c in text[:at])
 
 
+@functools.cache
+def _verbs(rule: Rule) -> re.Pattern:
+    """What a text must hold for a rule to match: one of its verbs, or anything where the pattern does not name them."""
+    rest = rule.pattern.pattern.partition("(?P<verb>")[2]
+    verbs, mark, _ = rest.partition(r")\s+(?P<object>")
+    return re.compile(verbs if mark else "", rule.pattern.flags)
+
+
 def extract_text(text: str | None, rules: tuple[Rule, ...] = DEFAULT_RULES) -> list[tuple]:
     """(rule, predicate, cue, subject span, object span, trigger span, subject, object); cue is null if asserted."""
     out = []
-    for rule in rules if text else ():
+    for rule in (r for r in rules if _verbs(r).search(text)) if text else ():
         for m in rule.pattern.finditer(text):
             begin = m.start("subject") + _after_last(_SUBJECT, m["subject"])
             spans = [(_units(text, a), _units(text, b)) for a, b in ((begin, m.end("subject")), m.span("object"), m.span())]
@@ -79,19 +88,36 @@ def extract_text(text: str | None, rules: tuple[Rule, ...] = DEFAULT_RULES) -> l
 
 _SPAN = "struct<start:int,end:int>"
 _FOUND = f"array<struct<rule:string,predicate:string,cue:string,subject:{_SPAN},object:{_SPAN},trigger:{_SPAN},subject_text:string,object_text:string>>"
+_FIELDS = ("rule", "predicate", "cue", "subject", "object", "trigger", "subject_text", "object_text")
+_PAIR = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_SHAPE = pa.list_(pa.struct([(name, _PAIR if name in ("subject", "object", "trigger") else pa.string()) for name in _FIELDS]))
+#: Tasks for each core: texts are dealt out, since a compact table of many texts may be one task to scan.
+SPREAD = 4
+
+
+def _row(found: tuple) -> dict:
+    return {name: {"start": x[0], "end": x[1]} if isinstance(x, tuple) else x for name, x in zip(_FIELDS, found, strict=True)}
+
+
+def found_in(texts: pa.Array, rules: tuple[Rule, ...] = DEFAULT_RULES) -> pa.Array:
+    """What each text says; one that repeats within the batch is read once."""
+    coded = texts.dictionary_encode()
+    said = pa.array([[_row(x) for x in extract_text(t, rules)] for t in coded.dictionary.to_pylist()], _SHAPE)
+    return said.take(coded.indices)
 
 
 def relations(records: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
     """(asserted, suppressed) of ``records`` (id, text): source, rule, predicate, spans, quotes; suppressed also the cue."""
 
-    @F.pandas_udf(_FOUND)
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: extract_text(t, rules))
+    @F.arrow_udf(_FOUND)
+    def found(texts: pa.Array) -> pa.Array:
+        return found_in(texts, rules)
 
     # a text without any of the verbs never reaches Python
-    verbs = "|".join(rule.pattern.pattern.partition("(?P<verb>")[2].partition(r")\s+(?P<object>")[0] for rule in rules)
-    spoken = records.where(F.col("text").rlike(rf"(?i)(?:{verbs})"))
-    flat = spoken.select(F.col("id").alias("source"), F.explode(found("text")).alias("r")).select("source", "r.*")
+    verbs = "|".join(_verbs(rule).pattern for rule in rules)
+    spoken = records.select("id", "text").where(F.col("text").rlike(f"(?i)(?:{verbs})"))
+    dealt = spoken.repartition(SPREAD * records.sparkSession.sparkContext.defaultParallelism)
+    flat = dealt.select(F.col("id").alias("source"), F.explode(found("text")).alias("r")).select("source", "r.*")
     return flat.where("cue is null").drop("cue"), flat.where("cue is not null").select("source", "rule", "predicate", "cue", "trigger")
 
 
